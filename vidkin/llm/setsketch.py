@@ -8,8 +8,9 @@ rejects what is clearly under the threshold, and the full sets decide the rest.
 
 Equal sets are one class. In a band's bucket all classes are first compared with the bucket's least
 class only (a star); then, in buckets whose members are still of several components, the remaining
-pairs across components are compared in blocks. So a bucket that is one group costs rows in proportion
-to its size, and no pair that shares a band is skipped.
+pairs across components are compared in blocks, first by likelihood, then, for the rows that have a
+pair left, by full sets; a block gives only links that join components anew. So rows stay in
+proportion to the members of a bucket, and no pair that shares a band is skipped.
 
 A pair at the threshold 0.8 shares none of 32 bands with probability 5e-8, and is rejected by the
 likelihood with about 1e-6.
@@ -39,7 +40,7 @@ REGISTERS = 128
 ROWS = 4
 BASE = 1.001
 RATE = 20.0
-BLOCK = 256
+BLOCK = 512
 #: Log-likelihood below the best at which a similarity of the threshold is ruled out (4.9 sigma).
 MARGIN = 12.0
 _GOLD = 0x9E3779B97F4A7C15
@@ -145,9 +146,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     likely_udf = F.pandas_udf(likely, "boolean")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that the full sets confirm."""
-        need = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().hint("shuffle_hash")
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """cid, set for the classes in ids (cid)."""
+        need = ids.distinct().hint("shuffle_hash")
         texts = docs.select(F.col("doc_id").alias("cid"), "text").join(need, "cid", "left_semi")
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,8 +158,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 yield pd.DataFrame({"cid": batch["cid"], "sid": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "set": [s.tobytes() for s in own]})
 
         # Repeated rows of one doc_id may differ in text; the class's own set counts.
-        full = texts.mapInPandas(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi"), ["cid", "sid"]).dropDuplicates(["cid", "sid"]).drop("sid")
-        full = stage(full, "sets")
+        full = texts.mapInPandas(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi"), ["cid", "sid"])
+        return stage(full.dropDuplicates(["cid", "sid"]).drop("sid"), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the full sets confirm."""
+        full = full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))))
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -185,47 +190,90 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spread = F.xxhash64("cid", F.lit(7))
     every = rest.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)), "y": F.pmod(spread, "all_blocks"), "minor": F.lit(False)})
     minor = rest.filter("label <> main").withColumns({"x": F.pmod(spread, "minor_blocks"), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)), "minor": F.lit(True)})
-    blocks = every.unionByName(minor).select("key", "x", "y", "minor", "band", "cid", "label", (F.col("label") == F.col("main")).alias("of_main"), "n", "regs")
+    columns = ["key", "x", "y", "minor", "band", "cid", "label", "of_main", "n", "regs"]
+    blocks = every.unionByName(minor).withColumn("of_main", F.col("label") == F.col("main")).select(*columns)
     blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "minor")
 
-    def pairs_of(group: pd.DataFrame) -> list[tuple[int, int]]:
-        low, high = group[group["minor"]], group[~group["minor"]]
+    def open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Places in group of the pairs across components that the likelihood leaves possible, likeliest first."""
+        is_minor = group["minor"].to_numpy()
+        low, high = np.nonzero(is_minor)[0], np.nonzero(~is_minor)[0]
+        none = np.zeros(0, np.intp)
         if not len(low) or not len(high):
-            return []
-        i, j = np.nonzero(low["label"].to_numpy()[:, None] != high["label"].to_numpy()[None, :])
-        a, b = low["cid"].to_numpy()[i], high["cid"].to_numpy()[j]
-        once = high["of_main"].to_numpy()[j] | (a < b)
-        i, j, a, b = i[once], j[once], a[once], b[once]
-        if not len(i):
-            return []
-        ra, rb = (np.frombuffer(b"".join(f["regs"]), "<u2").reshape(-1, REGISTERS) for f in (low, high))
-        ea, eb = ra.view("<u8"), rb.view("<u8")
+            return none, none
+        label, cid, of_main, n = (group[c].to_numpy() for c in ("label", "cid", "of_main", "n"))
+        i, j = np.nonzero(label[low][:, None] != label[high][None, :])
+        i, j = low[i], high[j]
+        once = of_main[j] | (cid[i] < cid[j])
+        i, j = i[once], j[once]
+        regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
+        words_of = regs.view("<u8")
+        band = int(group["band"].iloc[0])
         out = []
         for k in range(0, len(i), 20_000):
             p, q = i[k : k + 20_000], j[k : k + 20_000]
             # A pair is taken in the first band on which it agrees.
-            first = (ea[p] == eb[q]).argmax(-1) == int(group["band"].iloc[0])
-            p, q, aa, bb = p[first], q[first], a[k : k + 20_000][first], b[k : k + 20_000][first]
+            first = (words_of[p] == words_of[q]).argmax(-1) == band
+            p, q = p[first], q[first]
             if len(p):
-                ok = may_reach(ra[p], rb[q], low["n"].to_numpy()[p], high["n"].to_numpy()[q], percent / 100)
-                out += zip(np.minimum(aa, bb)[ok].tolist(), np.maximum(aa, bb)[ok].tolist(), strict=True)
-        return out
-
-    def block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            ids = batch[["key", "x", "y"]].to_numpy()
-            starts = [0, *(np.nonzero((ids[1:] != ids[:-1]).any(1))[0] + 1).tolist()] if len(batch) else [0]
-            out = [p for s, e in zip(starts, starts[1:], strict=False) for p in pairs_of(batch.iloc[s:e])]
-            held = batch.iloc[starts[-1] :]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if held is not None:
-            yield pd.DataFrame(pairs_of(held), columns=["a", "b"], dtype="int64")
-
-    more = stage(blocks.mapInPandas(block_pairs, "a long, b long").distinct(), "rest")
-    if not more.isEmpty():
-        label = components(links.unionAll(verified(more)))
+                ok = may_reach(regs[p], regs[q], n[p], n[q], percent / 100)
+                p, q = p[ok], q[ok]
+                out.append((p, q, (regs[p] == regs[q]).sum(-1)))
+        if not out:
+            return none, none
+        p, q, same = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(-same, kind="stable")
+        return p[order], q[order]
+
+    def in_groups(function, result: list[str]):
+        """Run function on each block of a sorted stream of rows."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                if not len(batch):
+                    continue
+                ids = batch[["key", "x", "y"]].to_numpy()
+                starts = [0, *(np.nonzero((ids[1:] != ids[:-1]).any(1))[0] + 1).tolist()]
+                out = [function(batch.iloc[s:e]) for s, e in zip(starts, starts[1:], strict=False)]
+                held = batch.iloc[starts[-1] :]
+                if out:
+                    yield pd.concat(out, ignore_index=True)[result]
+            if held is not None:
+                yield function(held)[result]
+
+        return run
+
+    def with_pairs(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of the block that have an open pair."""
+        p, q = open_pairs(group)
+        return group.iloc[np.unique(np.concatenate([p, q]))]
+
+    def joining(group: pd.DataFrame) -> pd.DataFrame:
+        """Confirmed links that join components of the block, one for each joining."""
+        p, q = open_pairs(group)
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+        label, cid, above, out = group["label"].tolist(), group["cid"].tolist(), {}, []
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                x = y
+            return x
+
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            a, b = top(label[i]), top(label[j])
+            if a != b and similar(sets[i], sets[j], percent):
+                above[a] = b
+                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    types = "key long, x long, y long, minor boolean, band int, cid long, label long, of_main boolean, n long, regs binary"
+    opened = stage(blocks.mapInPandas(in_groups(with_pairs, columns), types), "open")
+    if not opened.isEmpty():
+        held = opened.join(full_sets(opened.select("cid")), "cid").select(*columns, "set")
+        held = held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "minor")
+        label = components(links.unionAll(held.mapInPandas(in_groups(joining, ["a", "b"]), "a long, b long")))
     classes = nodes.select("sid", "cid").join(label.withColumnRenamed("id", "cid"), "cid", "left").select("sid", F.coalesce("component", "cid").alias("component"))
     # Many rows may share a class; the classes' side has one row each, so AQE can split the rows' side.
     out = all_rows.select("doc_id", "n", "sid").join(classes, "sid", "left")
