@@ -92,9 +92,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFra
         later = ledger.unionByName(unseen.select("blob", F.lit(rule_version).alias("rule_version")))
     else:
         unseen, later = blobs, blobs.select("blob", F.lit(rule_version).alias("rule_version"))
-    todo = unseen.select("rep").distinct().hint("shuffle_hash")
+    todo = unseen.groupBy("rep").agg(F.count("*").alias("blobs")).hint("shuffle_hash")
     texts = versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(todo, texts["doc_id"].eqNullSafe(todo["rep"]), "left_semi")
+    # A column of the unseen side in the scan keeps the optimiser from scanning before the join.
+    texts = texts.join(todo, texts["doc_id"].eqNullSafe(todo["rep"])).select(F.when(F.col("blobs") > 0, F.col("text")).alias("text"))
     found = texts.select(address(F.col("text")).alias("blob"), find_spans(F.col("text"), rules).alias("spans")).filter(F.size("spans") > 0)
     found = stage(found.groupBy("blob").agg(F.first("spans").alias("spans")), "findings").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     if findings is not None:
