@@ -1,0 +1,29 @@
+"""Tables in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where that is unset (tests, local mode)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vidkin-core-")
+        folder = _OWN[app]
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
