@@ -14,7 +14,7 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; a memo that is emptied when it reaches its bound."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mix, shingles
+from .store import bound_batches
 
 LANES = 16
 COUNTERS = 128
@@ -93,6 +94,7 @@ def fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     before, so each range finds every row's next document alone. Only range bounds are gathered.
     """
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (-1 - key).alias("at"))
     ranges = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())

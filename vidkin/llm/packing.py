@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import bound_batches, stage
 
 CAPACITY = 1024
 CLASSES = 32
@@ -46,12 +46,14 @@ def encoder(json_path: str, ranks_path: str | None) -> Callable[[str], np.ndarra
     With ranks_path (the same vocabulary as ranks) plain Latin texts take a faster encoder with the
     same result; texts with other characters or with a special token's string always take json_path.
     """
-    from tokenizers import Tokenizer
-
-    full = Tokenizer.from_file(json_path)
+    full = []
 
     def exact(text: str) -> np.ndarray:
-        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not full:  # large, and many workers never need it
+            from tokenizers import Tokenizer
+
+            full.append(Tokenizer.from_file(json_path))
+        return np.array(full[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     if ranks_path is None:
         return exact
@@ -135,6 +137,7 @@ def _first_id(level: int) -> int:
 def pack(docs: DataFrame, vocabulary: tuple[str, str | None] | None = None, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     paths = vocabulary or default_vocabulary()
+    bound_batches(docs.sparkSession)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, bins = encoder(*paths), _Bins(capacity, _first_id(0))

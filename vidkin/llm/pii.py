@@ -23,6 +23,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .store import bound_batches
+
 KINDS = ("email", "address", "date", "social", "card", "phone")
 ROUNDS = 8
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -163,6 +165,7 @@ class Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes = b"vidkin-default-key", back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for each kind. back=True undoes it with the same key."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import WordHashes, mix, shingles
-from .store import stage
+from .store import bound_batches, stage
 
 REGISTERS = 128
 ROWS = 4
@@ -118,6 +118,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of docs."""
     bands = REGISTERS // ROWS
+    bound_batches(docs.sparkSession)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()

@@ -1,3 +1,80 @@
-"""DuckDB SQL for the operators' queries that SQL can express."""
+"""DuckDB SQL for the operators' queries that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+Not expressible: op2 (tokenisation), op4 (BLAKE2b vectors), op6 (vocabulary file), op7 (compression), op8
+(keyed permutation) and op9 (HTML text); these are tested against brute force or exact round trips.
+"""
+
+from __future__ import annotations
+
+from .decontaminate import LEAST, NAME, NUMBER, UNIT, UNITS
+
+_GAP = r"[\x00-\x20!-/:-@\[-`{-\x7f]"
+_SLOTS = f"[{NAME}{NUMBER}{UNIT}]"
+
+
+def _template(text: str) -> str:
+    named = rf"regexp_replace({text}, '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}})', '\1{NAME}\2', 'g')"
+    numbered = f"regexp_replace({named}, '([0-9]+)', ' {NUMBER}\\1 ', 'g')"
+    # RE2 has no look-ahead: the letter after a unit is matched as its absence.
+    unit = rf"regexp_replace({numbered}, '({NUMBER}[0-9]+) +({'|'.join(sorted(UNITS.split(), key=len, reverse=True))})([^\p{{L}}]|$)', '\1 {UNIT}\2\3', 'g')"
+    slotted = f"CASE WHEN regexp_matches({text}, '[0-9]') THEN {unit} ELSE {named} END"
+    return f"list_filter(regexp_split_to_array(lower({slotted}), '{_GAP}+'), lambda x: x <> '')"
+
+
+def _windows(table: str, key: str) -> str:
+    return f"""SELECT {key}, i AS at, list_transform(w[i + 1:i + 5], lambda x: CASE WHEN regexp_matches(x, '^{_SLOTS}') THEN x[1:1] ELSE x END) AS t, w[i + 1:i + 5] AS raw
+  FROM (SELECT {key}, w, unnest(range(0, len(w) - 4)) AS i FROM (SELECT {key}, {_template("coalesce(text, '')")} AS w FROM {table}))"""
+
+
+_OP1 = f"""WITH b AS ({_windows('benchmark', 'item_id')}), d AS ({_windows('documents', 'doc_id')}),
+total AS (SELECT item_id, count(DISTINCT t) AS item_windows FROM b GROUP BY 1),
+hits AS (SELECT d.doc_id, b.item_id, d.at - b.at AS line, d.t AS t,
+  list_filter(list_transform(range(1, 6), lambda k: CASE WHEN regexp_matches(b.raw[k], '^{_SLOTS}') THEN {{'item': b.raw[k], 'doc': d.raw[k]}} END), lambda s: s IS NOT NULL) AS slots FROM d JOIN b ON d.t = b.t),
+lines AS (SELECT doc_id, item_id, line, list(DISTINCT t) AS ts, list_distinct(flatten(list(slots))) AS slots FROM hits GROUP BY ALL),
+kept AS (SELECT * FROM lines WHERE len(slots) = len(list_distinct(list_transform(slots, lambda s: s.item)))),
+cover AS (SELECT doc_id, item_id, len(list_distinct(flatten(list(ts)))) AS n_windows, max(len(slots)) AS n_slots, max(len(list_filter(slots, lambda s: s.item <> s.doc))) AS n_changed FROM kept GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, item_windows, n_windows / item_windows::DOUBLE AS coverage, n_slots, n_changed FROM cover JOIN total USING (item_id) WHERE n_windows / item_windows::DOUBLE >= {LEAST}"""
+
+_ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one rule: the text between matches gives their places."""
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0))::BIGINT AS s, length(whole[k]) AS n
+  FROM (SELECT doc_id, gaps, whole, checked, unnest(range(1, len(whole) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole,
+    regexp_extract_all(text, '{pattern}', {group}) AS checked FROM docs)) WHERE length(checked[k]) >= {least}"""
+
+
+_OP3 = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_found(0, 'assign', _ASSIGN, 2, 8)} UNION ALL {_found(1, 'access', 'AKIA[A-Z0-9]+', 0, 16)} UNION ALL {_found(2, 'hex', '[0-9a-f]+', 0, 32)}
+ UNION ALL {_found(3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 0)} UNION ALL {_found(4, 'forge', 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 0)}),
+named AS (SELECT *, kind || ':' || s || ':' || (s + n) AS x FROM found),
+by_doc AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  string_agg(x, ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN by_doc USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP5 = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM both JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.at = e.x)
+SELECT r.id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.at) AS component_id, min(r.at) = r.id AS kept FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.id GROUP BY r.id"""
+
+_OP10 = """WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (SELECT unnest([0, 1]) AS t)),
+pieces AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS n FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(n) + sum(CASE WHEN before IS NULL THEN 12 + length(role) + 1 WHEN before = role THEN 10 ELSE 11 + 12 + length(role) + 1 END) + 11)::BIGINT AS formatted_chars
+FROM pieces GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_template_decontamination": _OP1,
+    "op3_blob_ledger_secrets": _OP3,
+    "op5_setsketch_near_duplicates": _OP5,
+    "op10_relational_chat": _OP10,
+}

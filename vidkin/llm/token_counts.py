@@ -23,6 +23,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .store import bound_batches
+
 END = "\0"
 _WORDS = regex.compile(r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]+")
 SCHEMA = "doc_id long, n_words long, n_tokens long"
@@ -136,7 +138,7 @@ class Automaton:
 class Counts(dict):
     """word -> tokens; emptied at its bound."""
 
-    def __init__(self, automaton: Automaton, bound: int = 300_000):
+    def __init__(self, automaton: Automaton, bound: int = 200_000):
         super().__init__()
         self.automaton, self.bound = automaton, bound
 
@@ -150,6 +152,7 @@ class Counts(dict):
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens for each row of docs."""
     path = vocabulary or default_vocabulary()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(Automaton(load_vocabulary(path)))

@@ -31,6 +31,8 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 WORDS = 8
 CHARS = 400
 LEVEL = 9
@@ -179,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000) -> Mode
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' rows: doc_id, score."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,6 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores `least` or more; their columns as they are."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, place = docs.columns, docs.columns.index("text")
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:vidkin:warc")
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -61,6 +63,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two rows per response: its metadata and its conversion record."""
+    bound_batches(records.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
