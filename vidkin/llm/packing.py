@@ -166,11 +166,12 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str | None] | None = None, capa
         return run
 
     here = stage(docs.select("doc_id", "text").mapInPandas(fill, SCHEMA), "pack0")
-    done, level = [here.filter("sequence_id >= 0")], 0
+    done, level, tasks = [here.filter("sequence_id >= 0")], 0, 1 << 30
     while True:
         level += 1
         left = here.filter("sequence_id < 0")
-        tasks = -(-left.count() // LEVEL_ROWS)
+        # Fewer tasks at each level, so that the last one comes.
+        tasks = min(-(-left.count() // LEVEL_ROWS), max(1, tasks // 2))
         if tasks == 0:
             break
         here = stage(left.repartition(tasks).mapInPandas(refill(level, tasks == 1), SCHEMA), f"pack{level}")

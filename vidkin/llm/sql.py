@@ -58,8 +58,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _OP5 = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM words WHERE len(w) > 0)),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS MATERIALIZED (SELECT x, y FROM both JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
 edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.at = e.x)
 SELECT r.id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.at) AS component_id, min(r.at) = r.id AS kept FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.id GROUP BY r.id"""
