@@ -71,7 +71,10 @@ def candidate_pairs(bucketed: DataFrame, cfg: CompareConfig) -> DataFrame:
     d = distance(F.col("a_mid"), F.col("b_mid"), cfg.hash_bits)
     before = (F.col("a_duration_ms") < F.col("b_duration_ms")) | ((F.col("a_duration_ms") == F.col("b_duration_ms")) & (F.col("a_input_pos") < F.col("b_input_pos")))
     limit = f32(cfg.tolerance) * f32(1.5)
-    joined = a.join(b, ["bucket_id", "x", "y"]).filter(before & (d <= limit))
+    # Cells are few bytes but much work: a fixed number of partitions keeps them from being coalesced.
+    n = int(bucketed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = ["bucket_id", "x", "y"]
+    joined = a.repartition(n, *cell).join(b.repartition(n, *cell), cell).filter(before & (d <= limit))
     return joined.withColumn("d_mid", d).drop("x", "y", "a_mid", "b_mid")
 
 
