@@ -8,6 +8,7 @@ from vidkin.operators import audio, imaging, matching, report
 from vidkin.sources import cache, decode, files
 
 CFG = SignatureConfig()
+FRAMES = "video long, win int, f int, width int, height int, frame binary"
 
 
 def test_listing_and_paths(spark, tmp_path):
@@ -54,20 +55,34 @@ def test_fill_black_like_spark(spark):
     rng = np.random.default_rng(2)
     for good in ([0, 3, 4], [], [7], [0, 7]):
         cube = np.where(np.isin(np.arange(8), good)[:, None, None], rng.integers(40, 250, (8, 4, 4)), 3)
-        rows = [(1, 0, f, x, y, int(cube[f, x, y])) for f in range(8) for x in range(4) for y in range(4)]
-        out = imaging.fill_black(spark.createDataFrame(rows, "video long, win int, f int, x int, y int, p int")).collect()
-        assert {(r.f, r.x, r.y): r.p for r in out} == {(f, x, y): int(decode.fill_black(cube)[f, x, y]) for f in range(8) for x in range(4) for y in range(4)}
+        rows = [(1, 0, f, 4, 4, bytearray(cube[f].astype(np.uint8).tobytes())) for f in range(8)]
+        out = imaging.fill_black(spark.createDataFrame(rows, FRAMES)).collect()
+        assert {r.f: bytes(r.frame) for r in out} == {f: x.astype(np.uint8).tobytes() for f, x in enumerate(decode.fill_black(cube))}
 
 
 def test_letterbox_like_decode(spark):
     frame = np.full((90, 160), 200)
     frame[:10], frame[-10:] = 0, 0
-    rows = [(1, 0, x, y, int(frame[y, x])) for x in range(160) for y in range(90)]
-    r = imaging.letterbox(spark.createDataFrame(rows, "video long, f int, x int, y int, p int")).first()
+    rows = spark.createDataFrame([(1, 0, 0, 160, 90, bytearray(frame.astype(np.uint8).tobytes()))], FRAMES)
+    r = imaging.letterbox(rows).first()
     assert (r.left, r.right, r.top, r.bottom) == (0, 0, 10, 10) == decode.crop_of(frame[None].astype(np.uint8))
     assert decode.crop_of(np.zeros((2, 20, 20), np.uint8)) == (0, 0, 0, 0)
 
 
+def test_strips_like_a_count(spark):
+    rng = np.random.default_rng(3)
+    pixels = np.concatenate([rng.choice([5, 5, 9, 200], (6, 8)), np.full((2, 8), 30), np.tile([4, 4, 4, 4, 90, 90, 90, 90], (2, 1))])
+    rows = spark.createDataFrame([(7, 0, 1, 8, 10, bytearray(pixels.astype(np.uint8).tobytes()))], FRAMES)
+    got = {(r.axis, r.at): (r.mode, r.is_strip) for r in imaging.strips(rows).collect()}
+    want = {}
+    for axis, lines in (("row", pixels), ("col", pixels.T)):
+        for k, line in enumerate(lines.tolist()):
+            mode = max(line, key=lambda v: (line.count(v), v))
+            want[axis, k] = (mode, mode <= 32 and sum(abs(v - mode) <= 16 for v in line) / len(line) >= 0.9)
+    assert got == want and got["row", 8] == (90, False)
+    assert imaging.strips(rows.limit(0)).count() == imaging.letterbox(rows.limit(0)).count() == imaging.dct_hash(rows.limit(0)).count() == 0
+
+
 def test_build_signatures_with_fake_decoder(spark):
     def probe(path):
         if "bad" in path:

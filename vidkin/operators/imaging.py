@@ -1,4 +1,6 @@
-"""Frame operators on the long form: video, win, f (frame), x, y, p (0..255)."""
+"""Frame operators. A frame is a row: video, win, f (its number), width, height, frame (binary, one byte per
+pixel, row by row, as decoders give it). What concerns one frame needs no shuffle; what concerns a window or a
+video gathers its frames, of which there are a fixed few."""
 
 from __future__ import annotations
 
@@ -9,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..config import FRAME_SIDE, FRAMES, KEPT
 
@@ -19,20 +22,24 @@ SAMPLES = 8
 PRESCAN = (160, 120)
 
 
-def black_frames(pixels: DataFrame) -> DataFrame:
-    """video, win, f, is_black: the share of pixels at or under the level is high enough."""
-    return pixels.groupBy("video", "win", "f").agg((F.avg((F.col("p") <= BLACK_LEVEL).cast("int")) >= BLACK_SHARE).alias("is_black"))
+@F.pandas_udf(BooleanType())
+def is_black(frames: pd.Series) -> pd.Series:
+    """Whether the share of pixels at or under the level is high enough; an empty frame is black."""
+    return pd.Series([len(b) == 0 or np.count_nonzero(np.frombuffer(b, np.uint8) <= BLACK_LEVEL) / len(b) >= BLACK_SHARE for b in frames], dtype=bool)
 
 
-def fill_black(pixels: DataFrame) -> DataFrame:
+def black_frames(frames: DataFrame) -> DataFrame:
+    """The rows with is_black."""
+    return frames.withColumn("is_black", is_black("frame"))
+
+
+def fill_black(frames: DataFrame) -> DataFrame:
     """Each black frame takes the next frame of its window that isn't, else the previous, else stays."""
-    flags = black_frames(pixels)
     w = Window.partitionBy("video", "win").orderBy("f")
-    good = F.when(~F.col("is_black"), F.col("f"))
-    nxt = F.first(good, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    prev = F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    source = flags.select("video", "win", F.col("f").alias("to"), F.coalesce(nxt, prev, F.col("f")).alias("f"))
-    return pixels.join(source, ["video", "win", "f"]).select("video", "win", F.col("to").alias("f"), "x", "y", "p")
+    good = F.when(~F.col("is_black"), F.col("frame"))
+    following = F.first(good, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return black_frames(frames).withColumn("frame", F.coalesce(following, before, "frame")).select(*frames.columns)
 
 
 def pad_frames(frames: Column, frame_bytes: int = FRAME_SIDE * FRAME_SIDE, n: int = FRAMES) -> Column:
@@ -47,38 +54,71 @@ def sample_frames(pos: Column, total: Column, most: int = SAMPLES) -> Column:
     return (pos % step == 0) & (pos < step * most)
 
 
-def strips(pixels: DataFrame) -> DataFrame:
-    """video, f, axis ('row' or 'col'), at, width, is_strip: a dark mode that most pixels are near. The mode is
-    the most frequent value, of equally frequent ones the greatest."""
-    both = pixels.select("video", "f", F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("y").alias("at")), F.struct(F.lit("col").alias("axis"), F.col("x").alias("at")))).alias("s"), "p")
-    key = ["video", "f", "axis", "at"]
-    counts = both.groupBy("video", "f", F.col("s.axis").alias("axis"), F.col("s.at").alias("at"), "p").count()
-    mode = counts.groupBy(key).agg(F.max_by("p", F.struct("count", "p")).alias("mode"), F.sum("count").alias("n"), F.collect_list(F.struct("p", "count")).alias("bins"))
-    near = F.aggregate("bins", F.lit(0).cast("bigint"), lambda s, b: s + F.when(F.abs(b["p"] - F.col("mode")) <= MODE_NEAR, b["count"]).otherwise(0))
-    return mode.select(*key, F.col("mode").alias("mode"), ((F.col("mode") <= MODE_MAX) & (near / F.col("n") >= STRIP_SHARE)).alias("is_strip"))
+def line_modes(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line (row of an array of bytes) the most frequent value, of equally frequent ones the greatest,
+    and whether that is dark and most pixels are near it."""
+    n, width = lines.shape
+    counts = np.bincount((np.arange(n)[:, None] * 256 + lines).ravel(), minlength=n * 256).reshape(n, 256)
+    mode = 255 - counts[:, ::-1].argmax(1)
+    near = np.count_nonzero(np.abs(lines.astype(np.int16) - mode[:, None]) <= MODE_NEAR, axis=1)
+    return mode, (mode <= MODE_MAX) & (near / width >= STRIP_SHARE)
+
+
+def edges(frame: np.ndarray) -> tuple[int, int, int, int]:
+    """left, right, top, bottom of a frame (height, width): strips from each edge until the first that is none,
+    at most half; zero where nothing would be left."""
+    h, w = frame.shape
+    cols, rows = line_modes(frame.T)[1], line_modes(frame)[1]
+
+    def run(strip: np.ndarray) -> int:
+        half = strip[: len(strip) // 2]
+        return len(half) if half.all() else int(half.argmin())
+
+    left, right, top, bottom = run(cols), run(cols[::-1]), run(rows), run(rows[::-1])
+    return (left, right, top, bottom) if left + right < w and top + bottom < h else (0, 0, 0, 0)
+
+
+def _pixels(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+    for frame, w, h in zip(batch["frame"], batch["width"], batch["height"], strict=True):
+        yield np.frombuffer(frame, np.uint8).reshape(h, w)
 
 
-def letterbox(pixels: DataFrame) -> DataFrame:
-    """video, f, left, right, top, bottom: strips from each edge until the first that is none, at most half;
-    zero where nothing would be left."""
-    s = strips(pixels)
-    size = s.groupBy("video", "f").agg((F.max(F.when(F.col("axis") == "row", F.col("at"))) + 1).alias("h"), (F.max(F.when(F.col("axis") == "col", F.col("at"))) + 1).alias("w"))
-    s = s.join(size, ["video", "f"])
+def strips(frames: DataFrame) -> DataFrame:
+    """video, f, axis ('row' or 'col'), at, mode, is_strip for each line of each frame."""
 
-    def edge(axis: str, n: str, far: bool) -> Column:
-        offset = F.col(n) - 1 - F.col("at") if far else F.col("at")
-        half = F.floor(F.col(n) / 2)
-        return F.coalesce(F.min(F.when((F.col("axis") == axis) & ~F.col("is_strip") & (offset < half), offset)), F.max(half)).cast("int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [line_modes(lines) for p in _pixels(batch) for lines in (p, p.T)]
+            if not found:
+                continue
+            n = [len(mode) for mode, _ in found]
+            yield pd.DataFrame({
+                "video": np.repeat(np.repeat(batch["video"].to_numpy(), 2), n),
+                "f": np.repeat(np.repeat(batch["f"].to_numpy(), 2), n),
+                "axis": np.repeat(np.tile(np.array(["row", "col"], object), len(batch)), n),
+                "at": np.concatenate([np.arange(k) for k in n]),
+                "mode": np.concatenate([mode for mode, _ in found]),
+                "is_strip": np.concatenate([strip for _, strip in found]),
+            })
+
+    return frames.select("video", "f", "width", "height", "frame").mapInPandas(run, "video long, f int, axis string, at int, mode int, is_strip boolean")
+
+
+def letterbox(frames: DataFrame) -> DataFrame:
+    """video, f, left, right, top, bottom: the bars of each frame."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.array([edges(p) for p in _pixels(batch)], np.int32).reshape(-1, 4)
+            yield pd.DataFrame({"video": batch["video"], "f": batch["f"]} | {c: found[:, k] for k, c in enumerate(("left", "right", "top", "bottom"))})
 
-    by = s.groupBy("video", "f", "w", "h").agg(edge("col", "w", False).alias("left"), edge("col", "w", True).alias("right"), edge("row", "h", False).alias("top"), edge("row", "h", True).alias("bottom"))
-    usable = (F.col("left") + F.col("right") < F.col("w")) & (F.col("top") + F.col("bottom") < F.col("h"))
-    return by.select("video", "f", *[F.when(usable, F.col(c)).otherwise(0).alias(c) for c in ("left", "right", "top", "bottom")])
+    return frames.select("video", "f", "width", "height", "frame").mapInPandas(run, "video long, f int, left int, right int, top int, bottom int")
 
 
 def combine_crops(crops: DataFrame) -> DataFrame:
     """Per video the least crop of each edge over the sampled frames; f counts from 0."""
-    total = crops.groupBy("video").agg(F.count("*").alias("total"))
-    kept = crops.join(total, "video").filter(sample_frames(F.col("f"), F.col("total")))
+    counted = crops.withColumn("total", F.count("*").over(Window.partitionBy("video")))
+    kept = counted.filter(sample_frames(F.col("f"), F.col("total")))
     return kept.groupBy("video").agg(*[F.min(c).alias(c) for c in ("left", "right", "top", "bottom")])
 
 
@@ -113,14 +153,14 @@ def hash_cube(cube: np.ndarray, true3d: bool = False) -> bytes:
     return np.packbits(np.pad(bits, (0, 1024 - bits.size)), bitorder="little").tobytes()
 
 
-def dct_hash(pixels: DataFrame, true3d: bool = False) -> DataFrame:
-    """video, win, bits (array of 16 longs) of windows in long form, by one Arrow pass per group of pixels."""
-    cubes = pixels.groupBy("video", "win").agg(F.sort_array(F.collect_list(F.struct("f", "x", "y", "p"))).alias("cells"))
-    raw = cubes.select("video", "win", F.transform("cells", lambda c: c["p"].cast("int")).alias("p"))
+def dct_hash(frames: DataFrame, true3d: bool = False) -> DataFrame:
+    """video, win, bits (array of 16 longs) of each window's frames of FRAME_SIDE x FRAME_SIDE."""
+    cubes = frames.groupBy("video", "win").agg(F.sort_array(F.collect_list(F.struct("f", "frame"))).alias("cells"))
+    raw = cubes.select("video", "win", pad_frames(F.transform("cells", lambda c: c["frame"])).alias("frames"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [np.frombuffer(hash_cube(np.asarray(p).reshape(-1, FRAME_SIDE, FRAME_SIDE), true3d), "<i8").tolist() for p in batch["p"]]
-            yield pd.DataFrame({"video": batch["video"], "win": batch["win"], "bits": words})
+            cubes = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, FRAME_SIDE, FRAME_SIDE).transpose(0, 2, 1) for x in batch["frames"])
+            yield pd.DataFrame({"video": batch["video"], "win": batch["win"], "bits": [np.frombuffer(hash_cube(c, true3d), "<i8").tolist() for c in cubes]})
 
     return raw.mapInPandas(run, "video long, win int, bits array<long>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,41 +49,55 @@ sig AS (
   FROM cells WHERE v <> 5 OR w >= 2 GROUP BY vec_id, v)"""
 
 
+def _value(k, s, f, x, y):
+    return ((k + 1) * (x + 3) * (y + 5) * (f + 2) + s * x * f + 7 * y * y + 3 * x * x * x) % 251
+
+
+def _frames(spark: SparkSession, sf_dir: str, n: int, width: int, height: int, draw) -> DataFrame:
+    """video, win, f, width, height, frame: n frames of every part."""
+    x, y = np.arange(width)[None, :], np.arange(height)[:, None]
+
+    @F.pandas_udf("binary")
+    def drawn(k: pd.Series, s: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([draw(a, b, c, x, y).astype(np.uint8).tobytes() for a, b, c in zip(k, s, f, strict=True)])
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("video"), F.col("p_size").cast("bigint").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("f"))
+    return rows.select("video", F.lit(0).alias("win"), "f", F.lit(width).alias("width"), F.lit(height).alias("height"), drawn("video", "s", "f").alias("frame"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video, win, f, x, y, p: one window of 16 frames of 16x16."""
-    side = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 20").select(F.col("p_partkey").cast("bigint").alias("k"), F.col("p_size").cast("bigint").alias("s"))
-    rows = rows.withColumn("f", side).withColumn("x", side).withColumn("y", side)
-    k, s, f, x, y = (F.col(c) for c in "ksfxy")
-    p = ((k + 1) * (x + 3) * (y + 5) * (f + 2) + s * x * f + 7 * y * y + 3 * x * x * x) % 251
-    p = F.when((k + f) % 5 == 0, p % 33).otherwise(p)
-    return rows.select(k.alias("video"), F.lit(0).alias("win"), "f", "x", "y", p.cast("int").alias("p"))
+    """One window of 16 frames of 16x16; every fifth frame is black."""
+
+    def draw(k, s, f, x, y):
+        p = _value(k, s, f, x, y)
+        return p % 33 if (k + f) % 5 == 0 else p
+
+    return _frames(spark, sf_dir, 16, 16, 16, draw)
 
 
 _P = "(((k + 1) * (x + 3) * (y + 5) * (f + 2) + s * x * f + 7 * y * y + 3 * x * x * x) % 251)"
 PIXELS_SQL = f"""
 pix AS (
   SELECT k AS video, f::INT AS f, x::INT AS x, y::INT AS y, (CASE WHEN (k + f) % 5 = 0 THEN {_P} % 33 ELSE {_P} END)::INT AS p
-  FROM (SELECT p_partkey::BIGINT AS k, p_size::BIGINT AS s FROM part WHERE p_partkey < 20),
+  FROM (SELECT p_partkey::BIGINT AS k, p_size::BIGINT AS s FROM part),
        (SELECT unnest(range(16)) AS f), (SELECT unnest(range(16)) AS x), (SELECT unnest(range(16)) AS y))"""
 
 
 def barred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video, f, x, y, p: 8 frames of 32x24 with dark bars; every tenth video is dark all over."""
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 20").select(F.col("p_partkey").cast("bigint").alias("k"), F.col("p_size").cast("bigint").alias("s"))
-    for name, n in (("f", 8), ("x", 32), ("y", 24)):
-        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    k, s, f, x, y = (F.col(c) for c in "ksfxy")
-    p = ((k + 1) * (x + 3) * (y + 5) * (f + 2) + s * x * f + 7 * y * y + 3 * x * x * x) % 251
-    dark = (y < s % 4) | (y >= 24 - s % 3) | (x < s % 5) | (k % 10 == 0)
-    return rows.select(k.alias("video"), "f", "x", "y", F.when(dark, p % 8).otherwise(p).cast("int").alias("p"))
+    """8 frames of 32x24 with dark bars; every tenth video is dark all over."""
+
+    def draw(k, s, f, x, y):
+        p = _value(k, s, f, x, y)
+        return np.where((y < s % 4) | (y >= 24 - s % 3) | (x < s % 5) | (k % 10 == 0), p % 8, p)
+
+    return _frames(spark, sf_dir, 8, 32, 24, draw)
 
 
 BARRED_SQL = f"""
 bar AS (
   SELECT k AS video, f::INT AS f, x::INT AS x, y::INT AS y,
          (CASE WHEN y < s % 4 OR y >= 24 - s % 3 OR x < s % 5 OR k % 10 = 0 THEN {_P} % 8 ELSE {_P} END)::INT AS p
-  FROM (SELECT p_partkey::BIGINT AS k, p_size::BIGINT AS s FROM part WHERE p_partkey < 20),
+  FROM (SELECT p_partkey::BIGINT AS k, p_size::BIGINT AS s FROM part),
        (SELECT unnest(range(8)) AS f), (SELECT unnest(range(32)) AS x), (SELECT unnest(range(24)) AS y))"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,9 +142,7 @@ def thumb_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames per window after padding: how many, and how many of them are zero, from windows cut short."""
     rows = fx.pixels(spark, sf_dir).filter("f < 4 + video % 16")
-    frames = rows.groupBy("video", "f").agg(F.sort_array(F.collect_list(F.struct("x", "y", "p"))).alias("c"))
-    packed = frames.select("video", "f", F.unhex(F.array_join(F.transform("c", lambda c: F.lpad(F.hex(c["p"]), 2, "0")), "")).alias("frame"))
-    wins = packed.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "frame"))), lambda s: s["frame"]).alias("frames"))
+    wins = rows.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "frame"))), lambda s: s["frame"]).alias("frames"))
     padded = wins.select("video", F.size("frames").alias("had"), imaging.pad_frames(F.col("frames")).alias("frames"))
     zero = F.filter("frames", lambda b: b == F.unhex(F.lit("00" * 256)))
     return padded.select("video", F.col("had").cast("bigint").alias("had"), F.size("frames").cast("bigint").alias("n_frames"), F.size(zero).cast("bigint").alias("n_zero"))
@@ -159,8 +159,13 @@ def black_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def black_frame_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = imaging.fill_black(fx.pixels(spark, sf_dir))
-    return filled.groupBy("video", "f").agg(F.sum(F.col("p") * (F.col("x") * 16 + F.col("y") + 1)).cast("bigint").alias("checksum"))
+    weight = np.arange(16)[None, :] * 16 + np.arange(16)[:, None] + 1
+
+    @F.pandas_udf("long")
+    def checksum(frames: pd.Series) -> pd.Series:
+        return pd.Series([int(np.frombuffer(b, np.uint8) @ weight.ravel()) for b in frames], dtype="int64")
+
+    return imaging.fill_black(fx.pixels(spark, sf_dir)).select("video", "f", checksum("frame").alias("checksum"))
 
 
 def letterbox_strip(spark: SparkSession, sf_dir: str) -> DataFrame:

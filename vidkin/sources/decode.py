@@ -13,13 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import FRAME_SIDE, FRAMES, SignatureConfig
 from ..functions.text import parse_probe
 from ..functions.timeline import millis, window_positions
-from ..operators.imaging import BLACK_LEVEL, BLACK_SHARE, MODE_MAX, MODE_NEAR, PRESCAN, SAMPLES, STRIP_SHARE, hash_cube
+from ..operators.imaging import BLACK_LEVEL, BLACK_SHARE, PRESCAN, SAMPLES, edges, hash_cube
 
 HASHES = "array<struct<start_ms:bigint,end_ms:bigint,bits:array<bigint>>>"
 
@@ -60,25 +63,10 @@ def probed(files: DataFrame, probe: Callable[[str], str]) -> DataFrame:
     return rows.withColumn("error", F.coalesce("_p.error", F.when(F.col("metadata").isNull(), F.lit("no duration found")))).drop("_p")
 
 
-def _strip(pixels: np.ndarray) -> bool:
-    counts = np.bincount(pixels, minlength=256)
-    mode = 255 - int(counts[::-1].argmax())
-    return mode <= MODE_MAX and bool((np.abs(pixels.astype(int) - mode) <= MODE_NEAR).mean() >= STRIP_SHARE)
-
-
 def crop_of(frames: np.ndarray) -> tuple[int, int, int, int]:
     """left, right, top, bottom common to sampled frames (n, h, w)."""
-    best = None
-    for f in frames[:: max(1, len(frames) // SAMPLES)][:SAMPLES]:
-        h, w = f.shape
-        edges = []
-        for lines in (f.T, f.T[::-1], f, f[::-1]):
-            half = len(lines) // 2
-            edges.append(next((k for k in range(half) if not _strip(lines[k])), half))
-        if edges[0] + edges[1] >= w or edges[2] + edges[3] >= h:
-            edges = [0, 0, 0, 0]
-        best = edges if best is None else [min(a, b) for a, b in zip(best, edges, strict=True)]
-    return tuple(best or (0, 0, 0, 0))
+    found = [edges(f) for f in frames[:: max(1, len(frames) // SAMPLES)][:SAMPLES]]
+    return tuple(map(min, zip(*found, strict=True))) if found else (0, 0, 0, 0)
 
 
 def fill_black(cube: np.ndarray) -> np.ndarray:
@@ -97,48 +85,55 @@ def build_signatures(files: DataFrame, cfg: SignatureConfig, probe: Callable, fr
     rows = rows.withColumns({"_windows": F.to_json(window_positions(duration, cfg)), "duration_ms": millis(duration)})
     wants_audio = cfg.audio_fingerprint and fingerprint is not None
 
-    @F.pandas_udf(f"struct<hashes:{HASHES},fp:array<bigint>,error:string>")
-    def run(paths: pd.Series, windows: pd.Series) -> pd.DataFrame:
-        out = []
-        for path, text in zip(paths, windows, strict=True):
-            if text is None:
-                out.append((None, None, None))
-                continue
-            try:
-                spans = [(w["start"], w["end"]) for w in json.loads(text)]
-                crop = ""
-                if cfg.cropdetect:
-                    s, e = spans[len(spans) // 2]
-                    w, h = PRESCAN
-                    raw = frames(path, s, e - s, f"fps={8 / max(e - s, 0.1):.4f},scale={w}:{h}:flags=bilinear,format=gray", 8, cfg.timeout.seconds(e - s))
-                    n = len(raw) // (w * h)
-                    left, right, top, bottom = crop_of(np.frombuffer(raw[: n * w * h], np.uint8).reshape(n, h, w))
-                    if left + right + top + bottom:
-                        crop = f"crop=iw*{1 - (left + right) / w:.4f}:ih*{1 - (top + bottom) / h:.4f}:iw*{left / w:.4f}:ih*{top / h:.4f},"
-                hashes = []
-                for s, e in spans:
-                    vf = f"fps={FRAMES / max(e - s, 0.1):.4f},{crop}scale={FRAME_SIDE}:{FRAME_SIDE}:flags=bilinear,format=gray"
-                    raw = frames(path, s, e - s, vf, FRAMES, cfg.timeout.seconds(e - s))
-                    size = FRAME_SIDE * FRAME_SIDE
-                    raw = raw[: len(raw) // size * size][: FRAMES * size].ljust(FRAMES * size, b"\0")
-                    cube = fill_black(np.frombuffer(raw, np.uint8).reshape(FRAMES, FRAME_SIDE, FRAME_SIDE)).transpose(0, 2, 1)
-                    hashes.append({"start_ms": int(max(s, 0) * 1000), "end_ms": int(max(e, 0) * 1000), "bits": np.frombuffer(hash_cube(cube), "<i8").tolist()})
-                fp = None
-                if wants_audio:
-                    try:
-                        fp = [int(x) for x in fingerprint(path)] or None
-                    except Exception:  # noqa: BLE001  sound that can't be read counts as none
-                        fp = None
-                out.append((hashes, fp, None))
-            except Exception as e:  # noqa: BLE001  any failure of a file is a row
-                out.append((None, None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["hashes", "fp", "error"])
+    made = StructType.fromDDL(f"_hashes {HASHES}, _fp array<bigint>, _error string")
+    types = to_arrow_schema(made)
+
+    def signature(path: str, text: str | None) -> tuple:
+        if text is None:
+            return None, None, None
+        try:
+            spans = [(w["start"], w["end"]) for w in json.loads(text)]
+            crop = ""
+            if cfg.cropdetect:
+                s, e = spans[len(spans) // 2]
+                w, h = PRESCAN
+                raw = frames(path, s, e - s, f"fps={8 / max(e - s, 0.1):.4f},scale={w}:{h}:flags=bilinear,format=gray", 8, cfg.timeout.seconds(e - s))
+                n = len(raw) // (w * h)
+                left, right, top, bottom = crop_of(np.frombuffer(raw[: n * w * h], np.uint8).reshape(n, h, w))
+                if left + right + top + bottom:
+                    crop = f"crop=iw*{1 - (left + right) / w:.4f}:ih*{1 - (top + bottom) / h:.4f}:iw*{left / w:.4f}:ih*{top / h:.4f},"
+            hashes = []
+            for s, e in spans:
+                vf = f"fps={FRAMES / max(e - s, 0.1):.4f},{crop}scale={FRAME_SIDE}:{FRAME_SIDE}:flags=bilinear,format=gray"
+                raw = frames(path, s, e - s, vf, FRAMES, cfg.timeout.seconds(e - s))
+                size = FRAME_SIDE * FRAME_SIDE
+                raw = raw[: len(raw) // size * size][: FRAMES * size].ljust(FRAMES * size, b"\0")
+                cube = fill_black(np.frombuffer(raw, np.uint8).reshape(FRAMES, FRAME_SIDE, FRAME_SIDE)).transpose(0, 2, 1)
+                hashes.append({"start_ms": int(max(s, 0) * 1000), "end_ms": int(max(e, 0) * 1000), "bits": np.frombuffer(hash_cube(cube), "<i8").tolist()})
+            fp = None
+            if wants_audio:
+                try:
+                    fp = [int(x) for x in fingerprint(path)] or None
+                except Exception:  # noqa: BLE001  sound that can't be read counts as none
+                    fp = None
+            return hashes, fp, None
+        except Exception as e:  # noqa: BLE001  any failure of a file is a row
+            return None, None, f"{type(e).__name__}: {e}"
+
+    at = [rows.columns.index(c) for c in ("path", "_windows")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [signature(p, w) for p, w in zip(*(batch.column(k).to_pylist() for k in at), strict=True)]
+            new = [pa.array([x[k] for x in out], field.type) for k, field in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *types.names])
 
-    done = rows.withColumn("_s", run("path", "_windows")).withColumn("error", F.coalesce("error", "_s.error"))
+    # A map over whole rows, so that a file is decoded once whatever is read of it later.
+    done = rows.mapInArrow(run, StructType([*rows.schema.fields, *made.fields])).withColumn("error", F.coalesce("error", "_error"))
     ratio = F.coalesce((F.col("metadata.width") / F.nullif("metadata.height", F.lit(0))).cast("float"), F.lit(16 / 9).cast("float"))
     return done.withColumns(
-        {"aspect_ratio": ratio, "visual_hashes": F.col("_s.hashes"), "audio_fingerprint": F.col("_s.fp"), "outcome": F.when(F.col("error").isNull(), "Computed").otherwise("Error")}
-    ).drop("_s", "_windows")
+        {"aspect_ratio": ratio, "visual_hashes": F.col("_hashes"), "audio_fingerprint": F.col("_fp"), "outcome": F.when(F.col("error").isNull(), "Computed").otherwise("Error")}
+    ).drop("_hashes", "_fp", "_error", "_windows")
 
 
 def thumbnails(rows: DataFrame, thumbnail: Callable, width: int = 160, height: int = 90) -> DataFrame:
