@@ -61,7 +61,9 @@ def _frames(spark: SparkSession, sf_dir: str, n: int, width: int, height: int, d
     def drawn(k: pd.Series, s: pd.Series, f: pd.Series) -> pd.Series:
         return pd.Series([draw(a, b, c, x, y).astype(np.uint8).tobytes() for a, b, c in zip(k, s, f, strict=True)])
 
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("video"), F.col("p_size").cast("bigint").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("f"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("video"), F.col("p_size").cast("bigint").alias("s"))
+    # The narrow rows are dealt by video before they grow to frames, which then need no shuffle of their own.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "video").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return rows.select("video", F.lit(0).alias("win"), "f", F.lit(width).alias("width"), F.lit(height).alias("height"), drawn("video", "s", "f").alias("frame"))
 
 
