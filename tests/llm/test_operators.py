@@ -173,6 +173,13 @@ def test_reparameterised_question(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_upper_cased_copies(spark):
+    q = "in the morning, he said, the market opens and, after that, Tom sells 12 km of rope to Anna, who, as always, pays him well"
+    bench = spark.createDataFrame([(1, q)], "item_id long, text string")
+    docs = docs_of(spark, [q, q.upper(), q.upper().replace("12", "77"), q.lower(), "no " + " ".join(q.upper().split()[::-1])])
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {0, 1, 2, 3}
+
+
 # Multiset hash
 
 

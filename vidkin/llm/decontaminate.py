@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows. Built-in DataFrame functions only.
 
 Numbers, names (capitalised words inside a sentence) and units after a number become typed slots that
-keep their value. A window is five template words, in which a slot counts only by its type. Windows of
-documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
+keep their value. A window is five template words, in which a slot counts only by its type; as names are
+told by case, a window also counts by its lower-case words with numbers alone as slots, so that a copy in
+another case matches. Figures are those of the typed form where it reaches `least` alone. Windows of documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
 diagonal (document position less item position), so that one occurrence of a question lies on one
 diagonal; a diagonal stays only if each slot value of the item maps to one value there. A document is
 contaminated by an item when the windows on consistent diagonals cover at least `least` of the item's
@@ -15,6 +16,9 @@ empty tables give an empty result; other columns are ignored. Texts are read who
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ LEAST = 0.8
 BROADCAST_WINDOWS = 200_000
 #: Marks set before a slot's value, from the private use area.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+AFTER = "\ue003"
 #: Units that may follow a number.
 UNITS = "km cm mm m mi miles kg g mg lb lbs oz l ml s sec secs seconds min mins minutes h hours days weeks months years usd eur dollars euros cents percent"
 _GAP = r"[\x00-\x20!-/:-@\[-`{-\x7f]"
@@ -39,41 +44,73 @@ def template(text: Column) -> Column:
     return F.split(gaps, f"{_GAP}+")
 
 
+def _marked(c: Column) -> Column:
+    return (c >= NAME) & (c < AFTER)
+
+
+def _kind(c: Column) -> Column:
+    return c.substr(1, 1)
+
+
+def _bare(c: Column) -> Column:
+    return F.when(_marked(c), F.substring(c, 2, 2**31 - 1)).otherwise(c)
+
+
 def windows(rows: DataFrame, key: str, words: int = WORDS) -> DataFrame:
-    """key, at, hash, and the window's words (with slot values), for each window of each text."""
+    """key, at, window (hash of the typed form), hashes (of all forms), and the window's words (with slot values)."""
     cut = rows.select(key, template(F.coalesce("text", F.lit(""))).alias("w"))
     # What follows the last word is one empty string at most.
     n = F.size("w") - F.when(F.element_at("w", -1) == "", 1).otherwise(0)
     at = cut.filter(n >= words).select(key, "w", F.explode(F.sequence(F.lit(0), n - words)).alias("at"))
-    each = [F.get("w", F.col("at") + j) for j in range(words)]
-    typed = [F.when(c.substr(1, 1).isin(NAME, NUMBER, UNIT), c.substr(1, 1)).otherwise(c) for c in each]
-    return at.select(key, "at", F.xxhash64(*typed).alias("hash"), *[c.alias(f"w{j}") for j, c in enumerate(each)])
+    each = [F.col(f"w{j}") for j in range(words)]
+    at = at.select(key, "at", *[F.get("w", F.col("at") + j).alias(f"w{j}") for j in range(words)])
+    typed = F.xxhash64(*[F.when(_marked(c), _kind(c)).otherwise(c) for c in each])
+    # Case plays no part in this form: numbers are slots, all else is lower-case words.
+    caseless = F.xxhash64(*[F.when((c >= NUMBER) & (c < UNIT), F.lit(NUMBER)).otherwise(_bare(c)) for c in each])
+    some = reduce(or_, map(_marked, each))
+    hashes = F.when(some, F.array_distinct(F.array(typed, caseless))).otherwise(F.array(F.xxhash64(*each)))
+    return at.select(key, "at", hashes.alias("hashes"), *each).withColumn("window", F.get("hashes", F.lit(0)))
+
+
+def _consistent(entries: Column) -> Column:
+    """windows and slots of one diagonal; none if a slot value of the item maps to two."""
+    slots = F.array_distinct(F.flatten(F.transform(entries, lambda e: e["slots"])))
+    values = F.array_distinct(F.transform(slots, lambda s: s["item"]))
+    windows = F.when(F.size(values) == F.size(slots), F.transform(entries, lambda e: e["window"]))
+    return F.struct(windows.alias("windows"), slots.alias("slots"))
+
+
+def _figures(form: str) -> Column:
+    """n_windows, n_slots and n_changed over the diagonals that have windows."""
+    slots = F.when(F.size(f"{form}.windows") > 0, F.col(f"{form}.slots"))
+    return F.struct(
+        F.size(F.array_distinct(F.flatten(F.collect_list(f"{form}.windows")))).cast("long").alias("n_windows"),
+        F.max(F.size(slots)).cast("long").alias("n_slots"),
+        F.max(F.size(F.filter(slots, lambda s: s["item"] != s["doc"]))).cast("long").alias("n_changed"),
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, words: int = WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows (covered), item_windows, coverage, n_slots, n_changed (slots with another value)."""
     w = range(words)
     bench = windows(benchmark, "item_id", words)
-    bench = bench.select("item_id", F.col("at").alias("item_at"), "hash", *[F.col(f"w{j}").alias(f"b{j}") for j in w])
-    total = bench.groupBy("item_id").agg(F.countDistinct("hash").cast("long").alias("item_windows"))
+    total = bench.groupBy("item_id").agg(F.countDistinct("window").cast("long").alias("item_windows"))
+    bench = bench.select("item_id", F.col("at").alias("item_at"), "window", F.explode("hashes").alias("hash"), *[F.col(f"w{j}").alias(f"b{j}") for j in w])
     small = bench.limit(broadcast_windows + 1).count() <= broadcast_windows
     mine = windows(docs.select("doc_id", "text"), "doc_id", words)
+    mine = mine.select("doc_id", "at", F.col("window").alias("own_window"), F.explode("hashes").alias("hash"), *[f"w{j}" for j in w])
     hits = mine.join(F.broadcast(bench) if small else bench, "hash")
-    is_slot = [F.col(f"b{j}").substr(1, 1).isin(NAME, NUMBER, UNIT) for j in w]
-    same_kind = [(F.col(f"b{j}") == F.col(f"w{j}")) | (is_slot[j] & (F.col(f"b{j}").substr(1, 1) == F.col(f"w{j}").substr(1, 1))) for j in w]
-    for same in same_kind:
-        hits = hits.filter(same)
-    slots = F.array_compact(F.array(*[F.when(is_slot[j], F.struct(F.col(f"b{j}").alias("item"), F.col(f"w{j}").alias("doc"))) for j in w]))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(
-        F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
-    )
-    values = F.array_distinct(F.transform("slots", lambda s: s["item"]))
-    kept = lines.filter(F.size(values) == F.size("slots"))
-    by = kept.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_windows"),
-        F.max(F.size("slots")).cast("long").alias("n_slots"),
-        F.max(F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))).cast("long").alias("n_changed"),
-    )
+    b, d = [F.col(f"b{j}") for j in w], [F.col(f"w{j}") for j in w]
+    for j in w:
+        hits = hits.filter((_bare(b[j]) == _bare(d[j])) | (_marked(b[j]) & (_kind(b[j]) == _kind(d[j]))))
+    slots = F.array_compact(F.array(*[F.when(_marked(b[j]), F.struct(b[j].alias("item"), F.concat(_kind(b[j]), _bare(d[j])).alias("doc"))) for j in w]))
+    entry = F.struct("window", (F.col("window") == F.col("own_window")).alias("typed"), slots.alias("slots"))
+    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(F.collect_set(entry).alias("entries"))
+    lines = lines.select("doc_id", "item_id", _consistent(F.filter("entries", lambda e: e["typed"])).alias("typed"), _consistent(F.col("entries")).alias("whole"))
+    by = lines.groupBy("doc_id", "item_id").agg(*[_figures(form).alias(form) for form in ("typed", "whole")])
     out = by.join(F.broadcast(total) if small else total, "item_id")
-    coverage = F.col("n_windows") / F.col("item_windows")
-    return out.select("doc_id", "item_id", "n_windows", "item_windows", coverage.alias("coverage"), "n_slots", "n_changed").filter(F.col("coverage") >= least)
+    # The typed form's figures stand where it alone suffices.
+    best = F.when(F.col("typed.n_windows") / F.col("item_windows") >= least, F.col("typed")).otherwise(F.col("whole"))
+    out = out.select("doc_id", "item_id", "item_windows", best.alias("best"))
+    coverage = F.col("best.n_windows") / F.col("item_windows")
+    return out.select("doc_id", "item_id", "best.n_windows", "item_windows", coverage.alias("coverage"), "best.n_slots", "best.n_changed").filter(F.col("coverage") >= least)
