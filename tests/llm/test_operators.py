@@ -180,6 +180,17 @@ def test_upper_cased_copies(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {0, 1, 2, 3}
 
 
+def test_names_that_begin_sentences_and_marked_numbers(spark):
+    q = "Alice has 12 apples and gives 5 to Bob. Alice then buys 7 more apples for 3 dollars. How many apples does Alice have now?"
+    p = 'Rope costs 12 m of wool, she said.\n"Ben (Ann too) paid 4 of 1,000 for it" and then they all went home to eat'
+    renamed = q.replace("Alice", "Carol").replace("Bob", "Dan")
+    bench = spark.createDataFrame([(1, q), (2, p)], "item_id long, text string")
+    docs = docs_of(spark, [q, renamed, renamed.replace("12", "12.5"), p.replace("12", "12.5").replace("1,000", "1").replace("Ben", "Tim").replace("Ann", "Eve"), "Every Word Of This Text Has A Capital. " * 9])
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 1), (1, 1), (2, 1), (3, 2)}
+    assert {r.doc_id: r.n_changed for r in rows} == {0: 0, 1: 2, 2: 3, 3: 4}
+
+
 # Multiset hash
 
 

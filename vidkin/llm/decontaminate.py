@@ -3,7 +3,8 @@
 Numbers, names (capitalised words inside a sentence) and units after a number become typed slots that
 keep their value. A window is five template words, in which a slot counts only by its type; as names are
 told by case, a window also counts by its lower-case words with numbers alone as slots, so that a copy in
-another case matches. Figures are those of the typed form where it reaches `least` alone. Windows of documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
+another case matches, and, with two plain words or more, with every capitalised word as a name, as at the
+start of a sentence. A number with points or commas inside is one slot. Figures are those of the typed form where it reaches `least` alone. Windows of documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
 diagonal (document position less item position), so that one occurrence of a question lies on one
 diagonal; a diagonal stays only if each slot value of the item maps to one value there. A document is
 contaminated by an item when the windows on consistent diagonals cover at least `least` of the item's
@@ -17,7 +18,7 @@ empty tables give an empty result; other columns are ignored. Texts are read who
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ LEAST = 0.8
 BROADCAST_WINDOWS = 200_000
 #: Marks set before a slot's value, from the private use area.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
-AFTER = "\ue003"
+#: Before a capitalised word where case doesn't tell a name (as at the start of a sentence); after the last
+#: mark; in place of a point or comma inside a number.
+INITIAL, AFTER, POINT = "\ue003", "\ue004", "\ue005"
 #: Units that may follow a number.
 UNITS = "km cm mm m mi miles kg g mg lb lbs oz l ml s sec secs seconds min mins minutes h hours days weeks months years usd eur dollars euros cents percent"
 _GAP = r"[\x00-\x20!-/:-@\[-`{-\x7f]"
@@ -37,8 +40,11 @@ _GAP = r"[\x00-\x20!-/:-@\[-`{-\x7f]"
 def template(text: Column) -> Column:
     """Lower-case words of the text; slots are a mark followed by their value."""
     named = F.regexp_replace(text, r"([\p{Ll}\p{N},;:] )(\p{Lu})", f"$1{NAME}$2")
-    numbered = F.regexp_replace(named, r"([0-9]+)", f" {NUMBER}$1 ")
-    unit = F.regexp_replace(numbered, f"({NUMBER}[0-9]+) +({'|'.join(UNITS.split())})(?![\\p{{L}}])", f"$1 {UNIT}$2")
+    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])((?:[\p{{P}}&&[^\x00-\x7f]])*\p{{Lu}})", f"{INITIAL}$1")
+    # A point or comma inside a number would be a gap.
+    whole = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", POINT)
+    numbered = F.regexp_replace(whole, f"([0-9](?:[0-9{POINT}]*[0-9])?)", f" {NUMBER}$1 ")
+    unit = F.regexp_replace(numbered, f"({NUMBER}[0-9{POINT}]+) +({'|'.join(UNITS.split())})(?![\\p{{L}}])", f"$1 {UNIT}$2")
     slotted = F.when(F.rlike(text, F.lit("[0-9]")), unit).otherwise(named)
     gaps = F.regexp_replace(F.lower(slotted), f"^{_GAP}+", "")
     return F.split(gaps, f"{_GAP}+")
@@ -49,7 +55,8 @@ def _marked(c: Column) -> Column:
 
 
 def _kind(c: Column) -> Column:
-    return c.substr(1, 1)
+    mark = c.substr(1, 1)
+    return F.when(mark == INITIAL, F.lit(NAME)).otherwise(mark)
 
 
 def _bare(c: Column) -> Column:
@@ -64,20 +71,27 @@ def windows(rows: DataFrame, key: str, words: int = WORDS) -> DataFrame:
     at = cut.filter(n >= words).select(key, "w", F.explode(F.sequence(F.lit(0), n - words)).alias("at"))
     each = [F.col(f"w{j}") for j in range(words)]
     at = at.select(key, "at", *[F.get("w", F.col("at") + j).alias(f"w{j}") for j in range(words)])
-    typed = F.xxhash64(*[F.when(_marked(c), _kind(c)).otherwise(c) for c in each])
+    typed = F.xxhash64(*[F.when((c >= NAME) & (c < INITIAL), _kind(c)).otherwise(_bare(c)) for c in each])
     # Case plays no part in this form: numbers are slots, all else is lower-case words.
     caseless = F.xxhash64(*[F.when((c >= NUMBER) & (c < UNIT), F.lit(NUMBER)).otherwise(_bare(c)) for c in each])
+    # Any capitalised word may be a name, where two words or more of the window are none.
+    capital = F.xxhash64(*[F.when(_marked(c), _kind(c)).otherwise(c) for c in each])
+    n_slots = reduce(add, [_marked(c).cast("int") for c in each])
     some = reduce(or_, map(_marked, each))
-    hashes = F.when(some, F.array_distinct(F.array(typed, caseless))).otherwise(F.array(F.xxhash64(*each)))
+    hashes = F.when(some, F.array_distinct(F.array(typed, caseless, F.when(n_slots <= words - 2, capital).otherwise(typed)))).otherwise(F.array(F.xxhash64(*each)))
     return at.select(key, "at", hashes.alias("hashes"), *each).withColumn("window", F.get("hashes", F.lit(0)))
 
 
 def _consistent(entries: Column) -> Column:
     """windows and slots of one diagonal; none if a slot value of the item maps to two."""
-    slots = F.array_distinct(F.flatten(F.transform(entries, lambda e: e["slots"])))
+    found = F.flatten(F.transform(entries, lambda e: e["slots"]))
+    slots = F.array_distinct(F.transform(found, lambda s: F.struct(s["item"], s["doc"])))
+    # A capitalised word that may be a name counts as a slot only where it changed.
+    counted = F.filter(found, lambda s: s["sure"] | (s["item"] != s["doc"]))
+    counted = F.array_distinct(F.transform(counted, lambda s: F.struct(s["item"], s["doc"])))
     values = F.array_distinct(F.transform(slots, lambda s: s["item"]))
     windows = F.when(F.size(values) == F.size(slots), F.transform(entries, lambda e: e["window"]))
-    return F.struct(windows.alias("windows"), slots.alias("slots"))
+    return F.struct(windows.alias("windows"), counted.alias("slots"))
 
 
 def _figures(form: str) -> Column:
@@ -103,10 +117,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
     b, d = [F.col(f"b{j}") for j in w], [F.col(f"w{j}") for j in w]
     for j in w:
         hits = hits.filter((_bare(b[j]) == _bare(d[j])) | (_marked(b[j]) & (_kind(b[j]) == _kind(d[j]))))
-    slots = F.array_compact(F.array(*[F.when(_marked(b[j]), F.struct(b[j].alias("item"), F.concat(_kind(b[j]), _bare(d[j])).alias("doc"))) for j in w]))
+    slots = F.array_compact(F.array(*[F.when(_marked(b[j]), F.struct(F.concat(_kind(b[j]), _bare(b[j])).alias("item"), F.concat(_kind(b[j]), _bare(d[j])).alias("doc"), (b[j] < INITIAL).alias("sure"))) for j in w]))
     entry = F.struct("window", (F.col("window") == F.col("own_window")).alias("typed"), slots.alias("slots"))
     lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(F.collect_set(entry).alias("entries"))
-    lines = lines.select("doc_id", "item_id", _consistent(F.filter("entries", lambda e: e["typed"])).alias("typed"), _consistent(F.col("entries")).alias("whole"))
+    typed = F.transform(F.filter("entries", lambda e: e["typed"]), lambda e: F.struct(e["window"].alias("window"), F.filter(e["slots"], lambda s: s["sure"]).alias("slots")))
+    lines = lines.select("doc_id", "item_id", _consistent(typed).alias("typed"), _consistent(F.col("entries")).alias("whole"))
     by = lines.groupBy("doc_id", "item_id").agg(*[_figures(form).alias(form) for form in ("typed", "whole")])
     out = by.join(F.broadcast(total) if small else total, "item_id")
     # The typed form's figures stand where it alone suffices.
