@@ -191,6 +191,18 @@ def test_names_that_begin_sentences_and_marked_numbers(spark):
     assert {r.doc_id: r.n_changed for r in rows} == {0: 0, 1: 2, 2: 3, 3: 4}
 
 
+def test_slot_conflict_costs_only_its_windows(spark):
+    rng = random.Random(9)
+    w = [f"w{chr(97 + rng.randrange(26))}{chr(97 + k % 26)}" for k in range(44)]
+    w[8] = w[30] = "12"
+    one, both = list(w), list(w)
+    one[8] = "13"
+    both[8], both[30] = "3", "4"
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, [" ".join(x) for x in (w, one, both)]), bench).collect()
+    assert {(r.doc_id, r.n_windows, r.item_windows) for r in rows} == {(0, 40, 40), (1, 35, 40), (2, 35, 40)}
+
+
 # Multiset hash
 
 

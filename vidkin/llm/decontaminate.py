@@ -4,9 +4,11 @@ Numbers, names (capitalised words inside a sentence) and units after a number be
 keep their value. A window is five template words, in which a slot counts only by its type; as names are
 told by case, a window also counts by its lower-case words with numbers alone as slots, so that a copy in
 another case matches, and, with two plain words or more, with every capitalised word as a name, as at the
-start of a sentence. A number with points or commas inside is one slot. Figures are those of the typed form where it reaches `least` alone. Windows of documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
+start of a sentence. A number with points or commas inside is one slot. Figures are those of the typed form on
+diagonals of one value per slot where these alone reach `least`. Windows of documents are hash-joined with those of the benchmark. Matches are gathered per document, item and
 diagonal (document position less item position), so that one occurrence of a question lies on one
-diagonal; a diagonal stays only if each slot value of the item maps to one value there. A document is
+diagonal. Each slot value of the item has one value there, the one most windows give it; windows with
+another count only where it is the item's own. A document is
 contaminated by an item when the windows on consistent diagonals cover at least `least` of the item's
 distinct windows.
 
@@ -82,16 +84,35 @@ def windows(rows: DataFrame, key: str, words: int = WORDS) -> DataFrame:
     return at.select(key, "at", hashes.alias("hashes"), *each).withColumn("window", F.get("hashes", F.lit(0)))
 
 
-def _consistent(entries: Column) -> Column:
-    """windows and slots of one diagonal; none if a slot value of the item maps to two."""
+def _slots(entries: Column) -> tuple[Column, Column]:
+    """All slot pairs of the entries, and the distinct ones."""
     found = F.flatten(F.transform(entries, lambda e: e["slots"]))
-    slots = F.array_distinct(F.transform(found, lambda s: F.struct(s["item"], s["doc"])))
-    # A capitalised word that may be a name counts as a slot only where it changed.
-    counted = F.filter(found, lambda s: s["sure"] | (s["item"] != s["doc"]))
-    counted = F.array_distinct(F.transform(counted, lambda s: F.struct(s["item"], s["doc"])))
-    values = F.array_distinct(F.transform(slots, lambda s: s["item"]))
-    windows = F.when(F.size(values) == F.size(slots), F.transform(entries, lambda e: e["window"]))
-    return F.struct(windows.alias("windows"), counted.alias("slots"))
+    return found, F.array_distinct(F.transform(found, lambda s: F.struct(s["item"], s["doc"])))
+
+
+def _split(slots: Column) -> Column:
+    """Whether a slot value of the item maps to two."""
+    return F.size(F.array_distinct(F.transform(slots, lambda s: s["item"]))) < F.size(slots)
+
+
+def _shape(entries: Column) -> Column:
+    """windows and slots of entries. A capitalised word that may be a name counts as a slot only where it changed."""
+    counted = F.filter(_slots(entries)[0], lambda s: s["sure"] | (s["item"] != s["doc"]))
+    slots = F.array_distinct(F.transform(counted, lambda s: F.struct(s["item"], s["doc"])))
+    return F.struct(F.transform(entries, lambda e: e["window"]).alias("windows"), slots.alias("slots"))
+
+
+def _agreeing(entries: Column) -> Column:
+    """Entries of one diagonal without those that hold a changed value other than the one most windows give
+    the slot (of equals the own value, then the greatest)."""
+    found, slots = _slots(entries)
+    ranked = F.transform(slots, lambda s: F.struct(s["item"].alias("item"), F.size(F.filter(found, lambda x: (x["item"] == s["item"]) & (x["doc"] == s["doc"]))).alias("n"), s["doc"].alias("doc")))
+    lost = F.filter(
+        ranked, lambda s: (s["item"] != s["doc"]) & F.exists(ranked, lambda x: (x["item"] == s["item"]) & ((x["n"] > s["n"]) | ((x["n"] == s["n"]) & ((x["doc"] == x["item"]) | (x["doc"] > s["doc"])))))
+    )
+    lost = F.transform(lost, lambda s: F.concat(s["item"], s["doc"]))
+    agreeing = F.filter(entries, lambda e: ~F.arrays_overlap(F.transform(e["slots"], lambda s: F.concat(s["item"], s["doc"])), lost))
+    return F.when(_split(slots), agreeing).otherwise(entries)
 
 
 def _figures(form: str) -> Column:
@@ -121,7 +142,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
     entry = F.struct("window", (F.col("window") == F.col("own_window")).alias("typed"), slots.alias("slots"))
     lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line")).agg(F.collect_set(entry).alias("entries"))
     typed = F.transform(F.filter("entries", lambda e: e["typed"]), lambda e: F.struct(e["window"].alias("window"), F.filter(e["slots"], lambda s: s["sure"]).alias("slots")))
-    lines = lines.select("doc_id", "item_id", _consistent(typed).alias("typed"), _consistent(F.col("entries")).alias("whole"))
+    lines = lines.select("doc_id", "item_id", typed.alias("typed"), _agreeing(F.col("entries")).alias("whole"))
+    lines = lines.select("doc_id", "item_id", F.when(~_split(_slots(F.col("typed"))[1]), _shape(F.col("typed"))).alias("typed"), _shape(F.col("whole")).alias("whole"))
     by = lines.groupBy("doc_id", "item_id").agg(*[_figures(form).alias(form) for form in ("typed", "whole")])
     out = by.join(F.broadcast(total) if small else total, "item_id")
     # The typed form's figures stand where it alone suffices.
