@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vidkin.llm import chat, components, decontaminate, hashing, multiset_hash, packing, pii, secrets, setsketch, token_counts, toxicity, warc
+from vidkin.llm import chat, components, decontaminate, hashing, multiset_hash, packing, pii, queries, secrets, setsketch, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, sid string, cid string, spans string"
 
@@ -330,6 +330,17 @@ def test_token_counts(spark):
         assert (rows[k].n_words, rows[k].n_tokens) == (len(w), sum(greedy(x, e, longest) for x in w))
 
 
+def test_token_counts_keep_every_vocabulary_entry(spark, tmp_path):
+    entries = token_counts.byte_vocabulary(token_counts.default_vocabulary())
+    assert len(entries) == 49406 and set(token_counts._LETTERS.values()) <= set(entries)
+    e, longest = set(entries), max(map(len, entries))
+    texts = ["ελληνικά", "größe", "안녕하", "привет", "\x01\x7f", "plain words"]
+    want = [sum(greedy("".join(token_counts._LETTERS[b] for b in w.encode()), e, longest) for w in token_counts._WORDS.findall(t)) for t in texts]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n_tokens for r in queries.op6_linear_token_counts(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+    assert want[:3] == [16, 5, 6]
+
+
 # Toxicity
 
 

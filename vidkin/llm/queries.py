@@ -39,7 +39,7 @@ def op5_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_linear_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), every_entry=True)
 
 
 def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,18 +5,19 @@ following it (linear longest-match). Reading a word moves along the trie; where
 popped count is added and the failure link followed, so each character costs amortised constant time
 and no piece is ever built. Counts of words are kept in a bounded memo.
 
-A word ends with an end mark that is part of the vocabulary's word-final entries. Text is lower-cased
+With `every_entry` words are read as their UTF-8 bytes, in the vocabulary's own byte letters, so that
+entries of part of a character count too and no character lies outside. A word ends with an end mark that is part of the vocabulary's word-final entries. Text is lower-cased
 and cut into runs of letters, single digits and runs of other characters.
 
-Defined results: null and empty texts, and white space alone, have 0 tokens; a character outside the
-vocabulary counts as one token by itself; repeated rows are counted alike; an empty table gives an
+Defined results: null and empty texts, and white space alone, have 0 tokens; a character (with `every_entry`
+a byte) outside the vocabulary counts as one token by itself; repeated rows are counted alike; an empty table gives an
 empty result; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_LETTERS = {b: c for c, b in _byte_letters().items()}
+
+
+def byte_letters(word: str) -> str:
+    """The word's UTF-8 bytes as letters of the byte-level alphabet; plain ASCII stays."""
+    return word if word.isascii() and word.isprintable() and " " not in word else "".join(map(_LETTERS.__getitem__, word.encode("utf-8", "surrogatepass")))
+
+
+def byte_vocabulary(path: str) -> list[str]:
+    """All entries in byte letters, word-final ones with END; special tokens alone are left out."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    out = []
+    for e in model["model"]["vocab"]:
+        final = e.endswith("</w>")
+        body = e[:-4] if final else e
+        if body and e not in special:
+            out.append(body + END * final)
+    return out
+
+
 def load_vocabulary(path: str) -> list[str]:
     """Entries as text (UTF-8 decoded), word-final ones with END; those that aren't whole characters are left out."""
     letters, out = _byte_letters(), []
@@ -138,24 +161,25 @@ class Automaton:
 class Counts(dict):
     """word -> tokens; emptied at its bound."""
 
-    def __init__(self, automaton: Automaton, bound: int = 200_000):
+    def __init__(self, automaton: Automaton, letters: Callable[[str], str] = str, bound: int = 200_000):
         super().__init__()
-        self.automaton, self.bound = automaton, bound
+        self.automaton, self.letters, self.bound = automaton, letters, bound
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.bound:
             self.clear()
-        value = self[word] = self.automaton.count(word)
+        value = self[word] = self.automaton.count(self.letters(word))
         return value
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens for each row of docs."""
+def token_counts(docs: DataFrame, vocabulary: str | None = None, every_entry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_tokens for each row of docs. every_entry: read UTF-8 bytes, with all entries of the
+    vocabulary; otherwise characters, with the entries that are whole characters."""
     path = vocabulary or default_vocabulary()
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(Automaton(load_vocabulary(path)))
+        counts = Counts(Automaton(byte_vocabulary(path)), byte_letters) if every_entry else Counts(Automaton(load_vocabulary(path)))
         for batch in batches:
             words = [_WORDS.findall((t or "").lower()) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": [len(w) for w in words], "n_tokens": [sum(map(counts.__getitem__, w)) for w in words]})
