@@ -24,23 +24,25 @@ empty table gives an empty result; other columns are ignored. Texts are read who
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import WordHashes, mix, shingles
-from .store import bound_batches, stage
+from .store import bound_batches, discard, stage
 
 REGISTERS = 128
 ROWS = 4
 BASE = 1.001
 RATE = 20.0
 BLOCK = 512
+#: Set elements (8 bytes each) of a block's side, on average, where sets are large.
+BLOCK_ELEMENTS = 1_000_000
 #: Log-likelihood below the best at which a similarity of the threshold is ruled out (4.9 sigma).
 MARGIN = 12.0
 _GOLD = 0x9E3779B97F4A7C15
@@ -115,23 +117,39 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _numbers(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy() if isinstance(batch, pa.Table) else batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of docs."""
     bands = REGISTERS // ROWS
     bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched_as = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("regs", pa.binary())])
+    set_as = pa.schema([("cid", pa.int64()), ("sid", pa.binary()), ("set", pa.binary())])
+    pair_as = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             n, sid, regs = [], [], []
-            for text in batch["text"]:
-                s = word_set(text, words, memo)
+            for text in batch.column(1):
+                s = word_set(text.as_py(), words, memo)
                 n.append(len(s))
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid, "regs": regs})
+            yield _batch({"doc_id": batch.column(0), "n": n, "sid": sid, "regs": regs}, sketched_as)
 
-    all_rows = stage(docs.select("doc_id", "text").mapInPandas(sketched, "doc_id long, n long, sid binary, regs binary"), "sketches")
+    all_rows = stage(docs.mapInArrow(sketched, "doc_id long, n long, sid binary, regs binary"), "sketches")
     nodes = all_rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = stage(nodes, "classes")
     in_band = nodes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "regs")
@@ -139,123 +157,137 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = in_band.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = stage(in_band.join(buckets, "key"), "members")
 
-    def likely(na: pd.Series, ra: pd.Series, nb: pd.Series, rb: pd.Series) -> pd.Series:
-        if not len(na):
-            return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(r), "<u2").reshape(-1, REGISTERS) for r in (ra, rb))
-        return pd.Series(may_reach(a, b, na.to_numpy(), nb.to_numpy(), percent / 100))
-
-    likely_udf = F.pandas_udf(likely, "boolean")
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = may_reach(_registers(batch.column("ra")), _registers(batch.column("rb")), _numbers(batch, "na"), _numbers(batch, "nb"), percent / 100)
+                yield _batch({c: _numbers(batch, c)[ok] for c in "ab"}, pair_as)
 
     def full_sets(ids: DataFrame) -> DataFrame:
         """cid, set for the classes in ids (cid)."""
         need = ids.distinct().hint("shuffle_hash")
         texts = docs.select(F.col("doc_id").alias("cid"), "text").join(need, "cid", "left_semi")
 
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = WordHashes()
             for batch in batches:
-                own = [word_set(t, words, memo) for t in batch["text"]]
-                yield pd.DataFrame({"cid": batch["cid"], "sid": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "set": [s.tobytes() for s in own]})
+                own = [word_set(t.as_py(), words, memo).tobytes() for t in batch.column(1)]
+                yield _batch({"cid": batch.column(0), "sid": [xxhash.xxh3_128_digest(s) for s in own], "set": own}, set_as)
 
         # Repeated rows of one doc_id may differ in text; the class's own set counts.
-        full = texts.mapInPandas(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi"), ["cid", "sid"])
+        full = texts.mapInArrow(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi"), ["cid", "sid"])
         return stage(full.dropDuplicates(["cid", "sid"]).drop("sid"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the full sets confirm."""
         full = full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))))
 
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
-                yield batch.loc[ok, ["a", "b"]]
+                both = zip(batch.column("sa"), batch.column("sb"), strict=True)
+                ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
+                yield _batch({c: _numbers(batch, c)[np.array(ok, bool)] for c in "ab"}, pair_as)
 
         both = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
-        return stage(both.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long"), "links")
+        out = stage(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+        discard(full)
+        return out
 
     # Stars: each member of a bucket with the bucket's least class.
     star = members.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(nodes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
     star = star.join(nodes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-    links = verified(stage(star.filter(likely_udf("na", "ra", "nb", "rb")).select("a", "b"), "pairs"))
+    pairs = stage(star.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(likely, "a long, b long"), "pairs")
+    links = verified(pairs)
+    discard(pairs)
     label = components(links)
 
-    # The rest: members other than the hub, in buckets of several components, block by block.
+    # The rest: members other than the hub, in buckets of several components, block by block. A block has
+    # at most BLOCK rows of each side, and fewer where their sets are large (on average; sides are dealt by a hash).
     rest = members.filter("size > 2 and cid <> hub").join(label.withColumnRenamed("id", "cid"), "cid", "left")
     rest = rest.select("key", "band", "cid", F.coalesce("component", "cid").alias("label"))
-    by_label = rest.groupBy("key", "label").count()
-    mixed = by_label.groupBy("key").agg(F.max_by("label", "count").alias("main"), F.sum("count").alias("all"), F.max("count").alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = mixed.select("key", "main", F.ceil(F.col("all") / BLOCK).alias("all_blocks"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("minor_blocks"))
-    rest = rest.join(mixed, "key").join(nodes.select("cid", "n", "regs"), "cid")
+    rest = rest.join(nodes.select("cid", "n", "regs"), "cid")
+    by_label = rest.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("elements"))
+    sums = [F.max_by("label", "count").alias("main"), F.count("*").alias("labels")]
+    sums += [F.sum(c).alias(f"all_{c}") for c in ("count", "elements")] + [F.max_by(c, "count").alias(f"top_{c}") for c in ("count", "elements")]
+    mixed = by_label.groupBy("key").agg(*sums).filter("labels > 1")
+    blocks_of = lambda count, elements: F.ceil(F.greatest(count / BLOCK, elements / BLOCK_ELEMENTS))
+    all_blocks = blocks_of(F.col("all_count"), F.col("all_elements"))
+    minor_blocks = blocks_of(F.col("all_count") - F.col("top_count"), F.col("all_elements") - F.col("top_elements"))
+    mixed = mixed.select("key", "main", all_blocks.alias("all_blocks"), minor_blocks.alias("minor_blocks"))
+    rest = rest.join(mixed, "key")
     spread = F.xxhash64("cid", F.lit(7))
     every = rest.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)), "y": F.pmod(spread, "all_blocks"), "minor": F.lit(False)})
     minor = rest.filter("label <> main").withColumns({"x": F.pmod(spread, "minor_blocks"), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)), "minor": F.lit(True)})
-    columns = ["key", "x", "y", "minor", "band", "cid", "label", "of_main", "n", "regs"]
+    types = {"key": "long", "x": "long", "y": "long", "minor": "boolean", "band": "int", "cid": "long", "label": "long", "of_main": "boolean", "n": "long", "regs": "binary"}
+    columns = list(types)
     blocks = every.unionByName(minor).withColumn("of_main", F.col("label") == F.col("main")).select(*columns)
     blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "minor")
 
-    def open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Places in group of the pairs across components that the likelihood leaves possible, likeliest first."""
-        is_minor = group["minor"].to_numpy()
+        is_minor = _numbers(group, "minor")
         low, high = np.nonzero(is_minor)[0], np.nonzero(~is_minor)[0]
         none = np.zeros(0, np.intp)
         if not len(low) or not len(high):
             return none, none
-        label, cid, of_main, n = (group[c].to_numpy() for c in ("label", "cid", "of_main", "n"))
-        i, j = np.nonzero(label[low][:, None] != label[high][None, :])
-        i, j = low[i], high[j]
-        once = of_main[j] | (cid[i] < cid[j])
-        i, j = i[once], j[once]
-        regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
+        label, cid, of_main, n = (_numbers(group, c) for c in ("label", "cid", "of_main", "n"))
+        regs = _registers(group.column("regs"))
         words_of = regs.view("<u8")
-        band = int(group["band"].iloc[0])
+        band = group.column("band")[0].as_py()
         out = []
-        for k in range(0, len(i), 20_000):
-            p, q = i[k : k + 20_000], j[k : k + 20_000]
-            # A pair is taken in the first band on which it agrees.
-            first = (words_of[p] == words_of[q]).argmax(-1) == band
-            p, q = p[first], q[first]
-            if len(p):
-                ok = may_reach(regs[p], regs[q], n[p], n[q], percent / 100)
-                p, q = p[ok], q[ok]
-                out.append((p, q, (regs[p] == regs[q]).sum(-1)))
+        for one in np.array_split(low, -(-len(low) * len(high) // 50_000)):
+            i, j = np.nonzero(label[one][:, None] != label[high][None, :])
+            i, j = one[i], high[j]
+            once = of_main[j] | (cid[i] < cid[j])
+            i, j = i[once], j[once]
+            for k in range(0, len(i), 10_000):
+                p, q = i[k : k + 10_000], j[k : k + 10_000]
+                # A pair is taken in the first band on which it agrees.
+                first = (words_of[p] == words_of[q]).argmax(-1) == band
+                p, q = p[first], q[first]
+                if len(p):
+                    ok = may_reach(regs[p], regs[q], n[p], n[q], percent / 100)
+                    p, q = p[ok], q[ok]
+                    out.append((p, q, (regs[p] == regs[q]).sum(-1)))
         if not out:
             return none, none
         p, q, same = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(-same, kind="stable")
         return p[order], q[order]
 
-    def in_groups(function, result: list[str]):
+    def in_groups(function):
         """Run function on each block of a sorted stream of rows."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            last = None
             for batch in batches:
-                batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                if not len(batch):
+                if not batch.num_rows:
                     continue
-                ids = batch[["key", "x", "y"]].to_numpy()
-                starts = [0, *(np.nonzero((ids[1:] != ids[:-1]).any(1))[0] + 1).tolist()]
-                out = [function(batch.iloc[s:e]) for s, e in zip(starts, starts[1:], strict=False)]
-                held = batch.iloc[starts[-1] :]
-                if out:
-                    yield pd.concat(out, ignore_index=True)[result]
-            if held is not None:
-                yield function(held)[result]
+                ids = np.stack([_numbers(batch, c) for c in ("key", "x", "y")], 1)
+                starts = [0, *(np.nonzero((ids[1:] != ids[:-1]).any(1))[0] + 1).tolist(), len(ids)]
+                for s, e in zip(starts, starts[1:], strict=False):
+                    if held and last != tuple(ids[s]):
+                        yield from function(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    held.append(batch.slice(s, e - s))
+                    last = tuple(ids[s])
+            if held:
+                yield from function(pa.Table.from_batches(held)).to_batches()
 
         return run
 
-    def with_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    def with_pairs(group: pa.Table) -> pa.Table:
         """The rows of the block that have an open pair."""
         p, q = open_pairs(group)
-        return group.iloc[np.unique(np.concatenate([p, q]))]
+        return group.take(pa.array(np.unique(np.concatenate([p, q]))))
 
-    def joining(group: pd.DataFrame) -> pd.DataFrame:
+    def joining(group: pa.Table) -> pa.Table:
         """Confirmed links that join components of the block, one for each joining."""
         p, q = open_pairs(group)
-        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
-        label, cid, above, out = group["label"].tolist(), group["cid"].tolist(), {}, []
+        held = [x for chunk in group.column("set").chunks for x in chunk]
+        label, cid, above, out = _numbers(group, "label").tolist(), _numbers(group, "cid").tolist(), {}, []
 
         def top(x: int) -> int:
             while (y := above.get(x, x)) != x:
@@ -264,17 +296,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
         for i, j in zip(p.tolist(), q.tolist(), strict=True):
             a, b = top(label[i]), top(label[j])
-            if a != b and similar(sets[i], sets[j], percent):
+            if a != b and similar(np.frombuffer(held[i].as_buffer(), np.uint64), np.frombuffer(held[j].as_buffer(), np.uint64), percent):
                 above[a] = b
                 out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.Table.from_batches([_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, pair_as)])
 
-    types = "key long, x long, y long, minor boolean, band int, cid long, label long, of_main boolean, n long, regs binary"
-    opened = stage(blocks.mapInPandas(in_groups(with_pairs, columns), types), "open")
+    opened = stage(blocks.mapInArrow(in_groups(with_pairs), ", ".join(f"{c} {t}" for c, t in types.items())), "open")
+    spent = [links, members, opened]
     if not opened.isEmpty():
-        held = opened.join(full_sets(opened.select("cid")), "cid").select(*columns, "set")
+        full = full_sets(opened.select("cid"))
+        held = opened.join(full, "cid").select(*columns, "set")
         held = held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "minor")
-        label = components(links.unionAll(held.mapInPandas(in_groups(joining, ["a", "b"]), "a long, b long")))
+        label = components(links.unionAll(held.mapInArrow(in_groups(joining), "a long, b long")))
+        spent.append(full)
+    discard(*spent)
     classes = nodes.select("sid", "cid").join(label.withColumnRenamed("id", "cid"), "cid", "left").select("sid", F.coalesce("component", "cid").alias("component"))
     # Many rows may share a class; the classes' side has one row each, so AQE can split the rows' side.
     out = all_rows.select("doc_id", "n", "sid").join(classes, "sid", "left")
