@@ -47,7 +47,8 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(~held_out))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    toxic = F.col("score") >= 0.5
+    return scored.select("doc_id", held_out.alias("held_out"), "score", toxic.cast("int").alias("predicted"), toxic.alias("toxic"))
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
