@@ -191,6 +191,22 @@ def test_names_that_begin_sentences_and_marked_numbers(spark):
     assert {r.doc_id: r.n_changed for r in rows} == {0: 0, 1: 2, 2: 3, 3: 4}
 
 
+def test_word_problem_with_names_that_open_sentences(spark):
+    q = "Tom had 12 apples. Anna took 5 apples. How many apples does he have now?"
+    docs = docs_of(spark, [q, q.replace("Tom", "Bob").replace("Anna", "Eve").replace("12", "31"), q.replace("apples", "pears")])
+    bench = spark.createDataFrame([(1, q, 5, "x")], "item_id long, text string, at long, window string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.n_changed) for r in rows} == {(0, 0), (1, 3)}
+
+
+def test_long_runs_do_not_meet_pairwise(spark):
+    numbers = " ".join(str(k) for k in range(300))
+    chant = "ha ho " * 300
+    docs = docs_of(spark, [" ".join(str(k) for k in range(5000, 8000)), "ho ha " * 3000, "so " + numbers, "long " * 60_000])
+    bench = spark.createDataFrame([(1, numbers), (2, chant)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_windows) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 2, 2), (2, 1, 296)}
+
+
 def test_slot_conflict_costs_only_its_windows(spark):
     rng = random.Random(9)
     w = [f"w{chr(97 + rng.randrange(26))}{chr(97 + k % 26)}" for k in range(44)]

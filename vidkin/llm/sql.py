@@ -6,34 +6,45 @@ Not expressible: op2 (tokenisation), op4 (BLAKE2b vectors), op6 (vocabulary file
 
 from __future__ import annotations
 
-from .decontaminate import LEAST, NAME, NUMBER, UNIT, UNITS
+from .decontaminate import LEAST, NAME, NUMBER, POINT, UNIT, UNITS
 
 _GAP = r"[\x00-\x20!-/:-@\[-`{-\x7f]"
-_SLOTS = f"[{NAME}{NUMBER}{UNIT}]"
 
 
-def _template(text: str) -> str:
-    named = rf"regexp_replace({text}, '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}})', '\1{NAME}\2', 'g')"
-    numbered = f"regexp_replace({named}, '([0-9]+)', ' {NUMBER}\\1 ', 'g')"
-    # RE2 has no look-ahead: the letter after a unit is matched as its absence.
-    unit = rf"regexp_replace({numbered}, '({NUMBER}[0-9]+) +({'|'.join(sorted(UNITS.split(), key=len, reverse=True))})([^\p{{L}}]|$)', '\1 {UNIT}\2\3', 'g')"
-    slotted = f"CASE WHEN regexp_matches({text}, '[0-9]') THEN {unit} ELSE {named} END"
-    return f"list_filter(regexp_split_to_array(lower({slotted}), '{_GAP}+'), lambda x: x <> '')"
+def _words(text: str) -> str:
+    # RE2 has no look-around: digits on both sides are matched, twice as they may be shared.
+    once = rf"regexp_replace({text}, '([0-9])[.,]([0-9])', '\1{POINT}\2', 'g')"
+    return f"list_filter(regexp_split_to_array(regexp_replace({once}, '([0-9])[.,]([0-9])', '\\1{POINT}\\2', 'g'), '{_GAP}+'), lambda x: x <> '')"
+
+
+_UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS.split())
 
 
 def _windows(table: str, key: str) -> str:
-    return f"""SELECT {key}, i AS at, list_transform(w[i + 1:i + 5], lambda x: CASE WHEN regexp_matches(x, '^{_SLOTS}') THEN x[1:1] ELSE x END) AS t, w[i + 1:i + 5] AS raw
-  FROM (SELECT {key}, w, unnest(range(0, len(w) - 4)) AS i FROM (SELECT {key}, {_template("coalesce(text, '')")} AS w FROM {table}))"""
-
-
-_OP1 = f"""WITH b AS ({_windows('benchmark', 'item_id')}), d AS ({_windows('documents', 'doc_id')}),
-total AS (SELECT item_id, count(DISTINCT t) AS item_windows FROM b GROUP BY 1),
-hits AS (SELECT d.doc_id, b.item_id, d.at - b.at AS line, d.t AS t,
-  list_filter(list_transform(range(1, 6), lambda k: CASE WHEN regexp_matches(b.raw[k], '^{_SLOTS}') THEN {{'item': b.raw[k], 'doc': d.raw[k]}} END), lambda s: s IS NOT NULL) AS slots FROM d JOIN b ON d.t = b.t),
-lines AS (SELECT doc_id, item_id, line, list(DISTINCT t) AS ts, list_distinct(flatten(list(slots))) AS slots FROM hits GROUP BY ALL),
-kept AS (SELECT * FROM lines WHERE len(slots) = len(list_distinct(list_transform(slots, lambda s: s.item)))),
-cover AS (SELECT doc_id, item_id, len(list_distinct(flatten(list(ts)))) AS n_windows, max(len(slots)) AS n_slots, max(len(list_filter(slots, lambda s: s.item <> s.doc))) AS n_changed FROM kept GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, item_windows, n_windows / item_windows::DOUBLE AS coverage, n_slots, n_changed FROM cover JOIN total USING (item_id) WHERE n_windows / item_windows::DOUBLE >= {LEAST}"""
+    """key, pos, w and p (words and placeholders), a and t (caseless and typed form; t null where it doesn't count)."""
+    number = "(low[{0}] >= '0' AND low[{0}] < ':')"
+    kind = f"CASE WHEN {number.format('k')} THEN '{NUMBER}' WHEN k > 1 AND {number.format('k - 1')} AND low[k] IN ({_UNIT_LIST}) THEN '{UNIT}' WHEN low[k] <> as_is[k] THEN '{NAME}' ELSE '' END"
+    return f"""SELECT *, CASE WHEN len(list_filter(p, lambda x: x <> '{NUMBER}')) = 0 THEN w ELSE list_transform(range(1, 6), lambda k: CASE WHEN p[k] = '{NUMBER}' THEN p[k] ELSE w[k] END) END AS a,
+    CASE WHEN len(list_filter(p, lambda x: x IN ('{UNIT}', '{NAME}'))) > 0 AND len(list_filter(p, lambda x: x = '')) >= 2 THEN list_transform(range(1, 6), lambda k: CASE WHEN p[k] = '' THEN w[k] ELSE p[k] END) END AS t
+  FROM (SELECT {key}, i AS pos, low[i + 1:i + 5] AS w, kinds[i + 1:i + 5] AS p FROM (SELECT {key}, low, kinds, unnest(range(0, len(low) - 4)) AS i
+    FROM (SELECT {key}, low, list_transform(range(1, len(low) + 1), lambda k: {kind}) AS kinds FROM (SELECT {key}, as_is, list_transform(as_is, lambda x: lower(x)) AS low FROM (SELECT {key}, {_words("coalesce(text, '')")} AS as_is FROM {table})))))"""
+
+
+_OP1 = f"""WITH b0 AS ({_windows('benchmark', 'item_id')}), d0 AS ({_windows('documents', 'doc_id')}),
+total AS (SELECT item_id, count(DISTINCT a) AS item_windows FROM b0 GROUP BY 1),
+b AS (SELECT item_id, w, p, a, f, min(pos) AS pos FROM (SELECT *, unnest(CASE WHEN t IS NULL THEN [a] ELSE [a, t] END) AS f FROM b0) GROUP BY ALL),
+d AS (SELECT doc_id, pos, w, unnest(CASE WHEN t IS NULL THEN [a] ELSE [a, t] END) AS f FROM d0),
+hits AS (SELECT d.doc_id, b.item_id, d.pos - b.pos AS diagonal, b.a AS a,
+  list_filter(list_transform(range(1, 6), lambda k: CASE WHEN b.p[k] <> '' THEN {{'item': b.p[k] || b.w[k], 'doc': b.p[k] || d.w[k]}} END), lambda s: s IS NOT NULL) AS slots FROM d JOIN b ON d.f = b.f),
+entries AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, CASE WHEN len(slots) > 0 THEN diagonal END AS line, a, slots FROM hits),
+pairs AS (SELECT doc_id, item_id, line, s.item AS item, s.doc AS doc, count(*) AS n FROM (SELECT doc_id, item_id, line, unnest(slots) AS s FROM entries) GROUP BY ALL),
+lost AS (SELECT DISTINCT x.doc_id, x.item_id, x.line, x.item, x.doc FROM pairs x JOIN pairs y USING (doc_id, item_id, line, item) WHERE x.item <> x.doc AND (y.n > x.n OR y.n = x.n AND y.doc <> x.doc AND (y.doc = y.item OR y.doc > x.doc))),
+dropped AS (SELECT DISTINCT e.doc_id, e.item_id, e.line, e.a, e.slots FROM (SELECT *, unnest(slots) AS s FROM entries) e JOIN lost l ON l.doc_id = e.doc_id AND l.item_id = e.item_id AND l.line = e.line AND l.item = e.s.item AND l.doc = e.s.doc),
+kept AS MATERIALIZED (SELECT * FROM entries e ANTI JOIN dropped USING (doc_id, item_id, line, a, slots)),
+cover AS (SELECT doc_id, item_id, count(DISTINCT a) AS n_windows FROM kept GROUP BY ALL),
+sizes AS (SELECT doc_id, item_id, max(n) AS n_slots, max(c) AS n_changed FROM (SELECT doc_id, item_id, line, count(DISTINCT s) AS n, count(DISTINCT s) FILTER (WHERE s.item <> s.doc) AS c FROM (SELECT doc_id, item_id, line, unnest(slots) AS s FROM kept) GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, item_windows, n_windows / item_windows::DOUBLE AS coverage, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed
+FROM cover JOIN total USING (item_id) LEFT JOIN sizes USING (doc_id, item_id) WHERE n_windows / item_windows::DOUBLE >= {LEAST}"""
 
 _ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 
