@@ -104,6 +104,15 @@ def test_chat_empty_and_merge(spark):
     assert r.formatted == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\na<|im_sep|>b<|im_sep|>b<|im_end|>\n"
 
 
+def test_chat_loss_is_read_by_its_mask_and_long_conversations(spark):
+    rows = [(1, t, "user" if t % 7 == 0 else "assistant", f"é{t} <|x" * 3) for t in range(20_000)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = chat.read_back(made).select("loss", F.size("turns").alias("n")).first()
+    assert back.n == 20_000 and list(back.loss) == [x for _, _, r, x in rows if r == "assistant"]
+    moved = made.withColumn("loss_spans", F.slice("loss_spans", 2, 10))
+    assert list(chat.read_back(moved).first().loss) == [x for _, _, r, x in rows if r == "assistant"][1:11]
+
+
 # Secrets
 
 
@@ -153,6 +162,19 @@ def test_redaction(spark):
     assert [r[0] for r in df.orderBy("doc_id").select(secrets.redact(F.col("text"), F.col("s"))).collect()] == ["é [SECRET] end", "none"]
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdefgh12 passwd=longenough1 " * 50_000
+    df = docs_of(spark, [text]).withColumn("s", secrets.find_spans(F.col("text")))
+    r = df.select(F.size("s").alias("n"), F.element_at("s", -1)["end"].alias("last"), secrets.redact(F.col("text"), F.col("s")).alias("clean")).first()
+    assert (r.n, r.last) == (100_000, len(text) - 1) and r.clean == "é [SECRET] [SECRET] " * 50_000
+
+
+def test_secret_versions_of_paths(spark):
+    rows = [("a", 1, "token=abcdefgh12"), ("a", 2, "none"), ("b", 1, "token=abcdefgh12"), (None, None, "token=abcdefgh12")]
+    out, ledger, _ = secrets.scan(spark.createDataFrame(rows, "path string, revision long, text string"), keys=("path", "revision"))
+    assert {(r.path, r.revision, len(r.spans)) for r in out.collect()} == {("a", 1, 1), ("a", 2, 0), ("b", 1, 1), (None, None, 1)} and ledger.count() == 2
+
+
 # Decontamination
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, multiset_hash, packing, pii, secrets, setsketch, token_counts, toxicity, warc
 from .sql import ORACLE_SQL
+from .store import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,14 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    """Two increments, all documents up to the middle id and then the rest: the second scans only blobs that the
+    first didn't hold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    later = F.col("doc_id") > (middle or 0)
+    first, ledger, findings = secrets.scan(docs.filter(~F.coalesce(later, F.lit(False))))
+    ledger = stage(ledger, "ledger")
+    rows = first.unionByName(secrets.scan(docs.filter(later), ledger, findings)[0])
     n = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.BASE]
     base = secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE)))
     return rows.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
@@ -67,7 +75,7 @@ def op10_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     back = chat.read_back(chat.format_conversations(own.unionByName(planted)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join("loss", "")
     digests = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return digests.select(
         "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars"
