@@ -32,3 +32,26 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
     assert {r.doc_id for r in pieces.collect()} == left[3]
     assert len(queries.QUERIES) == 10
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, spans string, blob string, gone string, at string, c0 string, kept string, sid string"
+
+
+def test_pipeline_stages_on_odd_rows_and_names(spark, tmp_path):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    texts = [(1, a), (1, a), (None, a), (1, b), (2, b), (None, None), (None, ""), (3, ""), (None, "solo words of a text without an id"), (4, "token=abcdefgh1 " * 5000), (4, "token=abcdefgh1 " * 5000)]
+    docs = spark.createDataFrame([(k, t, "en", "s", None, "1", "2", "3", "4", "5", "6", "7") for k, t in texts], ODD_COLUMNS)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such item in any of these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for frame in (docs, docs.limit(0)):
+        d = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, str(tmp_path))
+            assert d.columns == docs.columns
+        rows = [(r.doc_id, r.text, r.n_chars, r.c0) for r in d.collect()]
+        if frame is docs:
+            want = [(1, a), (1, b), (None, None), (3, ""), (None, texts[8][1]), (4, "[SECRET] " * 5000)]
+            assert sorted(map(str, rows)) == sorted(str((k, t, len(t) if k == 4 else None, "5")) for k, t in want)
+            assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() > 0
+        else:
+            assert rows == []

@@ -129,12 +129,13 @@ def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, for each row of docs."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the binary columns in keep, for each row of docs."""
     bands = REGISTERS // ROWS
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched_as = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("regs", pa.binary())])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep)])
+    kept_as = [f"keep{n}" for n in range(len(keep))]
+    sketched_as = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("regs", pa.binary()), *[(c, pa.binary()) for c in kept_as]])
     set_as = pa.schema([("cid", pa.int64()), ("sid", pa.binary()), ("set", pa.binary())])
     pair_as = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -147,9 +148,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 n.append(len(s))
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield _batch({"doc_id": batch.column(0), "n": n, "sid": sid, "regs": regs}, sketched_as)
+            yield _batch({"doc_id": batch.column(0), "n": n, "sid": sid, "regs": regs} | {c: batch.column(c) for c in kept_as}, sketched_as)
 
-    all_rows = stage(docs.mapInArrow(sketched, "doc_id long, n long, sid binary, regs binary"), "sketches")
+    all_rows = stage(docs.mapInArrow(sketched, ", ".join(["doc_id long, n long, sid binary, regs binary", *[f"{c} binary" for c in kept_as]])), "sketches")
     nodes = all_rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = stage(nodes, "classes")
     in_band = nodes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "regs")
@@ -312,6 +313,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     discard(*spent)
     classes = nodes.select("sid", "cid").join(label.withColumnRenamed("id", "cid"), "cid", "left").select("sid", F.coalesce("component", "cid").alias("component"))
     # Many rows may share a class; the classes' side has one row each, so AQE can split the rows' side.
-    out = all_rows.select("doc_id", "n", "sid").join(classes, "sid", "left")
+    out = all_rows.select("doc_id", "n", "sid", *kept_as).join(classes, "sid", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), *[F.col(x).alias(c) for x, c in zip(kept_as, keep, strict=True)])
