@@ -46,6 +46,8 @@ GRAM = 6
 CHANCE = 1.0
 #: Bytes of common content put before each window, so that a short window isn't stored uncompressed.
 LEAD = 24
+#: Texts whose strings are counted at a time.
+BLOCK = 500
 #: Savings, in bytes, at which a window is counted.
 STEPS = (2, 4, 6)
 FEATURES = 5 + 2 * len(STEPS)
@@ -115,10 +117,12 @@ class _Trainer:
     def __init__(self, texts: list[str], toxic: np.ndarray):
         self.toxic = toxic
         self.raw = [b"".join(windows(t)) for t in texts]
-        held = [np.unique(_grams(x)) for x in self.raw]
-        known, counts = np.unique(np.concatenate(held), return_counts=True)
+        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        for k in range(0, len(texts), BLOCK):
+            more = np.concatenate([np.unique(_grams(x)) for x in self.raw[k : k + BLOCK]])
+            known, at = np.unique(np.concatenate([known, more]), return_inverse=True)
+            counts = np.bincount(at[len(counts) :], minlength=len(known)).astype(np.int32) + np.bincount(at[: len(counts)], counts, len(known)).astype(np.int32)
         self.known = known[counts > 1]  # in a single text: no evidence
-        self.ids = [x[x >= 0] for x in map(self._ids, held)]
         self.places = [self._ids(_grams(x)) for x in self.raw]
 
     def _ids(self, grams: np.ndarray) -> np.ndarray:
@@ -129,22 +133,29 @@ class _Trainer:
         at[at == len(self.known)] = 0
         return np.where(self.known[at] == grams, at, -1).astype(np.int32)
 
-    def _weights(self, train: np.ndarray, label: float) -> np.ndarray:
-        count = {v: np.zeros(len(self.known)) for v in (False, True)}
-        for i in train:
-            count[bool(self.toxic[i] == label)][self.ids[i]] += 1
-        c, o = count[True], count[False]
-        n, e = c + o, (c + o) * (self.toxic[train] == label).mean()
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """For each known string the ordinary and the toxic texts among rows that hold it, and the numbers of both
+        kinds of text."""
+        out = np.zeros((2, len(self.known) + 1), np.int32)
+        for i in rows:
+            ids = np.unique(self.places[i])
+            out[int(self.toxic[i])][ids[ids >= 0]] += 1
+            out[int(self.toxic[i])][-1] += 1
+        return out
+
+    def _weights(self, counts: np.ndarray, label: int) -> np.ndarray:
+        c, o = counts[label][:-1].astype(float), counts[1 - label][:-1].astype(float)
+        n, e = c + o, (c + o) * counts[label][-1] / counts[:, -1].sum()
         with np.errstate(divide="ignore", invalid="ignore"):
             g = np.where(c > 0, c * np.log(c / e), 0) + np.where(o > 0, o * np.log(o / (n - e)), 0)
         as_often = np.cumsum(np.bincount(n.astype(int))[::-1])[::-1][n.astype(int)]
         return np.where((c > e) & (g > np.log(np.maximum(as_often, 1)) + CHANCE), g, 0)
 
-    def segments(self, train: np.ndarray, label: float) -> bytes:
+    def segments(self, train: np.ndarray, counts: np.ndarray, label: int) -> bytes:
         """Dictionary content of one class, its best segments last (nearest to what is compressed)."""
         if not len(self.known):
             return b""
-        weights, found = self._weights(train, label), {}
+        weights, found = self._weights(counts, label), {}
         for i in train[self.toxic[train] == label]:
             ids = self.places[i]
             on = np.where(ids >= 0, weights[ids] > 0, False).astype(np.int8)
@@ -159,14 +170,14 @@ class _Trainer:
                 taken.append(x)
         return b"".join(reversed(taken))
 
-    def dictionaries(self, train: np.ndarray) -> tuple[bytes, bytes]:
+    def dictionaries(self, train: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
         """The ordinary and the toxic one, of one length, with the common content at the same distance."""
         samples = [self.raw[i] for i in train[self.toxic[train] == 0] if self.raw[i]]
         try:
             base = zs.train_dictionary(BASE_BYTES, samples).as_bytes()
         except zs.ZstdError:  # too little to train on
             base = b"".join(samples)
-        own = [self.segments(train, label) for label in (0.0, 1.0)]
+        own = [self.segments(train, counts, label) for label in (0, 1)]
         size = max(map(len, own))
         return tuple(base + bytes(size - len(x)) + x for x in own)
 
@@ -182,10 +193,14 @@ def _grams(raw: bytes) -> np.ndarray:
 
 
 def _without_copies(texts: list[str], words: int = 8) -> list[int]:
-    """Places of the texts of which less than half of the word runs lie in earlier ones."""
+    """Places of the texts of which less than half of the word runs lie in earlier ones; of texts with many runs an
+    eighth, told by the hash, stands for all."""
     seen, kept, memo = set(), [], WordHashes()
     for i, t in enumerate(texts):
-        runs = set(shingles(memo.array(t.lower().encode("utf-8", "surrogatepass").split()), words).tolist())
+        runs = np.unique(shingles(memo.array(t.lower().encode("utf-8", "surrogatepass").split()), words))
+        if len(runs) > 64:
+            runs = runs[runs % np.uint64(8) == 0]
+        runs = set(runs.tolist())
         if runs and 2 * len(runs & seen) <= len(runs):
             kept.append(i)
             seen |= runs
@@ -224,13 +239,15 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, folds: i
         return Model(b"", b"", [math.log((share + 1e-9) / (1 - share + 1e-9))] + [0.0] * (FEATURES - 1))
     fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % folds for t in texts])
     trainer = _Trainer(texts, y)
+    of_fold = [trainer.counts(np.nonzero(fold == k)[0]) for k in range(folds)]
+    every = sum(of_fold)
     x = np.zeros((len(texts), FEATURES))
     x[:, 0] = 1
     for k in range(folds):
         train = np.nonzero(fold != k)[0]
         if y[train].sum() in (0, len(train)):
             continue
-        s = Scorer(Model(*trainer.dictionaries(train), [0.0] * FEATURES))
+        s = Scorer(Model(*trainer.dictionaries(train, every - of_fold[k]), [0.0] * FEATURES))
         for i in np.nonzero(fold == k)[0]:
             x[i] = s.features(texts[i])
     share = y.mean()
@@ -238,7 +255,7 @@ def fit(texts: list[str], toxic: list[int], prior: float | None = None, folds: i
     weight = np.where(y > 0, prior / share, (1 - prior) / (1 - share))
     weights = _logistic(x, y, weight)
     weights[0] -= _best_cut(x @ weights, y, weight)
-    return Model(*trainer.dictionaries(np.arange(len(texts))), weights.tolist())
+    return Model(*trainer.dictionaries(np.arange(len(texts)), every), weights.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, longest: int = 32_768) -> Model:
