@@ -80,6 +80,22 @@ def test_cuts_cover_and_stay_in_classes():
         assert sum(c) == n and all(p in {1024 // k for k in range(1, 33)} or p <= 32 for p in c) and len(c) <= n // 1024 + 6
 
 
+def test_fast_encoder_gives_the_same_ids():
+    rng = random.Random(11)
+    json_path, ranks = packing.default_vocabulary()
+    exact, fast = packing.encoder(json_path, None), packing.encoder(json_path, ranks)
+    letters = ["a", "b", "The", " ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "é", "ß", "9", "12", "_", ".", "!?", "\x00", "\x7f", "\xa0", "\u0153", "<|endoftext|>", "日"]
+    for t in [*(x or "" for x in ODD), *("".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(3000))]:
+        assert exact(t).tolist() == fast(t).tolist(), t
+
+
+def test_sequences_are_padded_but_for_powers_of_two(spark):
+    rng = random.Random(13)
+    pieces = packing.pack(docs_of(spark, [words(rng, rng.randrange(1, 300)) for _ in range(30)]))
+    for r in packing.sequences(pieces).collect():
+        assert r.padded == (r.used if r.used & (r.used - 1) == 0 else packing.CAPACITY)
+
+
 # Chat
 
 
@@ -265,6 +281,30 @@ def test_fingerprints(spark):
     assert len(one) == 1 and multiset_hash.fingerprints(docs_of(spark, [])).collect() == []
 
 
+def test_multiset_against_brute_force():
+    rng = random.Random(12)
+    memo = hashing.WordHashes()
+
+    def exact(text):
+        lanes = [0] * multiset_hash.LANES
+        for line in text.encode().split(b"\n"):
+            both = hashlib.blake2b(line, person=b"0").digest() + hashlib.blake2b(line, person=b"1").digest()
+            lanes = [(x + int.from_bytes(both[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(lanes)]
+        grams = Counter(tuple(w[k : k + 3]) for w in map(str.split, text.split("\n")) for k in range(max(len(w) - 2, bool(w))))
+        return lanes, grams
+
+    base = ["\n".join(words(rng, 200, 900) for _ in range(20)) for _ in range(30)]
+    for a, b in zip(base, base[1:], strict=False):
+        b = b[: len(b) // 2] + a[: len(a) // 2]
+        (la, ga), (lb, gb) = exact(a), exact(b)
+        va, vb = multiset_hash.of(a, memo), multiset_hash.of(b, memo)
+        assert va.lanes.tolist() == la and vb.lanes.tolist() == lb
+        dice = 2 * sum(n * gb[g] for g, n in ga.items()) / (sum(n * n for n in ga.values()) + sum(n * n for n in gb.values()))
+        assert abs(multiset_hash.likeness(va, vb) - dice) < 0.3
+    line = "one two three four\n"
+    assert multiset_hash.likeness(multiset_hash.of(line * 60_000, memo), multiset_hash.of(line * 40_000, memo)) > 0.9
+
+
 def test_multiset_is_homomorphic():
     memo = hashing.WordHashes()
     a, b = "first line here\nsecond line\nthird", "third\nfirst line here\nsecond line"
@@ -421,22 +461,65 @@ def test_feistel_is_a_permutation(n):
 
 def test_pseudonyms_keep_format_and_link(spark):
     t = "a@b.co 10.1.2.3 2021-02-28 31.12.1999 02/29/2000 123-45-6789 4111 1111 1111 1111 and 4111111111111111, +1 (415) 555-1234; bad 2021-02-30 4111111111111112 999.1.1.1 1.2.3"
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, [t, "x " + t, None, ""])).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs_of(spark, [t, "x " + t, None, ""]), b"k").collect()}
     a = rows[0].text
     assert rows[1].text == "x " + a and rows[2].text is None and rows[3].text == ""
     assert re.sub(r"[0-9]", "9", a[1:]) .count("9") >= 60 and a.endswith("bad 2021-02-30 4111111111111112 999.1.1.1 1.2.3")
-    assert [rows[0][f"n_{k}"] for k in pii.KINDS] == [1, 1, 3, 1, 2, 1]
+    assert [rows[0][f"n_{k}"] for k in pii.KINDS] == [1, 1, 3, 1, 0, 2, 1]
     for value in ("10.1.2.3", "2021-02-28", "123-45-6789", "4111", "(415) 555-1234"):
         assert f" {value}" not in a.split("bad")[0]
     cards = re.findall(r"(?<![\d-])\d{4} \d{4} \d{4} \d{4}|\d{16}", a.split("bad")[0])
     assert cards[0].replace(" ", "") == cards[1] and pii.luhn(cards[1][:-1]) == int(cards[1][-1])
-    back = pii.pseudonymise(docs_of(spark, [a]), back=True).first()
+    back = pii.pseudonymise(docs_of(spark, [a]), b"k", back=True).first()
     assert back.text == t
 
 
+HARD = [
+    "born 25/12/1980, IBAN DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, call 0171 2345678", "4111111111111111 12/27", "555-123-4567 555-987-6543", "0000 4111 1111 1111 1111 9",
+    "DE88 ABCD 1234 EFGH 5678 JK and 32/13/1980 stay", "on 1980-12-25 or 25.12.1980 or 12/25/1980", "", None,
+]
+
+
+def test_pseudonyms_of_hard_values(spark):
+    docs = docs_of(spark, HARD + HARD[:1])
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
+    count = lambda k: {x: rows[k][f"n_{x}"] for x in pii.KINDS if rows[k][f"n_{x}"]}
+    assert [count(k) for k in range(6)] == [{"date": 1, "account": 2, "phone": 1}, {"card": 1}, {"phone": 2}, {"card": 1}, {}, {"date": 3}]
+    for value in ("25/12/1980", "3704 0044", "60161331926819", "2345678"):
+        assert value not in rows[0].text
+    assert rows[1].text.endswith(" 12/27") and rows[3].text.startswith("0000 ") and rows[4].text == HARD[4] and rows[7].text is None and rows[8].text == rows[0].text
+    for found in re.findall(r"DE\d\d(?: \d+)+|GB[A-Z0-9]+", rows[0].text):
+        plain = found.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    iso, dotted, slashed = rows[5].text.split()[1::2]
+    y, m, d = iso.split("-")
+    assert dotted == f"{d}.{m}.{y}" and slashed == f"{m}/{d}/{y}"  # one day, one pseudonym
+    back = pii.pseudonymise(spark.createDataFrame([(k, r.text) for k, r in rows.items()], "doc_id long, text string"), b"k", back=True).collect()
+    undone = {r.doc_id: r.text for r in back}
+    assert [undone[k] for k in (0, 4, 5, 6, 7, 8)] == [(HARD + HARD[:1])[k] for k in (0, 4, 5, 6, 7, 8)]
+    assert pii.pseudonymise(docs.limit(0), b"k").collect() == []
+    assert pii.Pseudonyms(b"k").text("1 " * 100_000)[1] == dict.fromkeys(pii.KINDS, 0)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, b"")
+
+
 # WARC
 
 
+def test_warc_captures_headers_and_hostile_pages(spark):
+    pages = [(1, "http://h.example/", "<p>one"), (1, "http://h.example/", "<p>two"), (2, "u", "<a " * 200_000), (3, "u", "<title>" * 100_000 + "<script" * 50_000)]
+    rows = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert len({r.record_id for r in rows}) == 8 and all(r.source_headers.startswith("HTTP/1.1 200 OK") for r in rows)
+    raw = warc.serialise(next(r for r in rows if r.page_id == 1 and r.record_type == "conversion").asDict()).decode()
+    assert "WARC-Source-Header: Content-Type: text/html; charset=utf-8\r\n" in raw and "WARC-Payload-Digest: sha1:" in raw
+
+
+def test_warc_write(spark, tmp_path):
+    records = warc.derive(warc.responses(spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")))
+    warc.write(records, f"{tmp_path}/w")
+    assert {bytes(r.warc) for r in spark.read.parquet(f"{tmp_path}/w").collect()} == {warc.serialise(r.asDict()) for r in records.collect()}
+
+
 def test_warc_records(spark):
     page = '<html><head><title>A &amp; B</title><meta charset="utf-8"><script>x="<p>"</script></head><body><p>One<br>two &lt;3</p><!-- c --><a href="/x?q=1">go</a></body></html>'
     pages = spark.createDataFrame([(1, "http://h.example/a/", page, "z"), (2, None, None, "z"), (2, None, None, "z")], "page_id long, url string, html string, content string")

@@ -1,14 +1,14 @@
 """Homomorphic multiset hash of a document's paragraphs (lines).
 
-A paragraph's vector has 16 lanes of 64 bits taken from its BLAKE2b digests, and 128 counters of 16
+A paragraph's vector has 16 lanes of 64 bits taken from its BLAKE2b digests, and 128 counters of 32
 bits, a count sketch of its three-word shingles. A document's vector is the sum of its paragraphs'
-vectors, modulo 2**64 and 2**16. Order doesn't matter, and inserting or deleting paragraphs adds or
+vectors, modulo 2**64 and 2**32. Order doesn't matter, and inserting or deleting paragraphs adds or
 subtracts their vectors. The wide lanes decide equality; the counters give a likeness of two
 fingerprints from the fingerprints alone, 2<a,b> / (<a,a> + <b,b>), an estimate of the Dice likeness
 of the shingle multisets.
 
 Defined results: null text is empty (one empty paragraph); repeated rows are documents of their own,
-ordered by text; a null doc_id sorts as the least; a single row is its own next document; an empty
+ordered by text (rows of one id meet in one task); a null doc_id sorts as the least; a single row is its own next document; an empty
 table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
@@ -29,6 +29,8 @@ from .store import bound_batches
 LANES = 16
 COUNTERS = 128
 SHINGLE = 3
+#: Bytes of text that one task takes, on average.
+TASK_BYTES = 16 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -47,7 +49,7 @@ class Vector:
         return Vector(self.lanes - other.lanes, self.counters - other.counters)
 
     def text(self) -> str:
-        return base64.b64encode(self.lanes.astype("<u8").tobytes() + self.counters.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.lanes.astype("<u8").tobytes() + self.counters.astype("<u4").tobytes()).decode()
 
 
 def of(text: str, words: WordHashes) -> Vector:
@@ -69,7 +71,7 @@ def of(text: str, words: WordHashes) -> Vector:
     s = mix(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     signs = 1.0 - 2.0 * ((s >> np.uint64(7)) & np.uint64(1)).astype(float)
     counters = np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.intp), signs, COUNTERS).astype(np.int64)
-    return Vector(lanes, counters.astype(np.uint16))
+    return Vector(lanes, counters.astype(np.uint32))
 
 
 def edited(before: Vector, text: str, cut: int, new: str, words: WordHashes) -> Vector:
@@ -81,7 +83,7 @@ def edited(before: Vector, text: str, cut: int, new: str, words: WordHashes) ->
 def likeness(a: Vector, b: Vector) -> float:
     if np.array_equal(a.lanes, b.lanes) and np.array_equal(a.counters, b.counters):
         return 1.0
-    x, y = a.counters.astype(np.int16).astype(float), b.counters.astype(np.int16).astype(float)
+    x, y = a.counters.astype(np.int32).astype(float), b.counters.astype(np.int32).astype(float)
     both = x @ x + y @ y
     return float(min(1.0, max(0.0, 2 * (x @ y) / both))) if both else 0.0
 
@@ -97,7 +99,8 @@ def fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     bound_batches(docs.sparkSession)
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (-1 - key).alias("at"))
-    ranges = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     ids = docs.select((-1 - key).alias("at"))
     bounds = ids.agg(F.percentile_approx("at", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []
     bounds = np.unique(np.array(bounds, np.int64))

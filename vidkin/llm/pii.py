@@ -1,10 +1,14 @@
 """Format-preserving pseudonyms for personal numbers and dates by a keyed Feistel permutation.
 
-Found values are validated (card: Luhn; phone: 10 to 15 digits; address: four octets; date: a calendar
-day of 1900 to 2099; social: issuable areas) and permuted within the set of values of their format, so
-separators, length, check digits and validity stay, and equal values get equal pseudonyms in every
-document, however they are written. Local parts of e-mail addresses are permuted character class by
-character class. The permutation is a bijection of the format's set and can be undone with the key.
+Found values are validated (card: Luhn; account: the check digits of an IBAN; phone: 10 to 15 digits; address:
+four octets; date: a calendar day of 1900 to 2099, with slashes the month first, or the day where that is no
+date; social: issuable areas) and permuted within the set of values of their format, so separators, length,
+check digits and validity stay, and equal values get equal pseudonyms in every document, however they are
+written. Days up to the 12th stay such days, so that a date is read the same way again. Local parts of e-mail
+addresses are permuted character class by character class. The permutation is a bijection of the format's set
+and can be undone with the key, which has no default. Where a run of digits isn't valid as a whole, its
+beginnings up to a separator (for cards from the usual first digits) and then the other kinds are tried, then
+what begins later; such parts of runs may be read otherwise when undoing.
 
 Defined results: null text stays null and counts 0; numbers that aren't valid stay; repeated rows are
 treated alike; an empty table gives an empty result; other columns are ignored (their names don't
@@ -20,23 +24,25 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .store import bound_batches
 
-KINDS = ("email", "address", "date", "social", "card", "phone")
+KINDS = ("email", "address", "date", "social", "account", "card", "phone")
 ROUNDS = 8
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
-_FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))"
-    r"|(?<![\d.])(?P<address>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\d]|\.\d)"
-    r"|(?<![\d])(?P<date>\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?!\d)"
-    r"|(?<![\d-])(?P<social>\d{3}-\d\d-\d{4})(?![\d-])"
-    r"|(?<![\d])(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4})(?!\d)"
-)
+_PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
+    "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
+    "date": r"(?<!\d)(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4})(?!\d)",
+    "social": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{6,8})(?!\d)",
+}
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
+_ONE = {k: re.compile(p) for k, p in _PATTERNS.items()}
 
 
 class Feistel:
@@ -115,7 +121,7 @@ class Pseudonyms:
         if kind == "date":
             iso = found[4] == "-"
             y, m, d = (int(digits[:4]), int(digits[4:6]), int(digits[6:])) if iso else (int(digits[4:]), int(digits[2:4]), int(digits[:2]))
-            month_first = not iso and found[2] == "/"
+            month_first = not iso and found[2] == "/" and d <= 12
             if month_first:
                 m, d = d, m
             try:
@@ -124,8 +130,14 @@ class Pseudonyms:
                 return None
             if not 0 <= x < _DAYS:
                 return None
-            new = datetime.date.fromordinal(_FIRST_DAY + self._perm(x, _DAYS, kind))
+            while True:
+                x = self._perm(x, _DAYS, kind)
+                new = datetime.date.fromordinal(_FIRST_DAY + x)
+                if (new.day <= 12) == (d <= 12):
+                    break
             return new.isoformat() if iso else new.strftime("%m/%d/%Y" if month_first else f"%d{found[2]}%m{found[5]}%Y")
+        if kind == "account":
+            return self._account(found)
         if kind == "social":
             x = int(digits)
             if not self._issuable(x):
@@ -145,34 +157,70 @@ class Pseudonyms:
         keep = len(digits) - 10
         return _refill(found, digits[:keep] + f"{self._perm(int(digits[keep:]), 10**10, f'phone:{digits[:keep]}'):010d}")
 
+    def _account(self, found: str) -> str | None:
+        """Digits of the account are permuted, letters stay, check digits are made anew."""
+        plain = found.replace(" ", "")
+        check = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+        if check(plain) != 1:
+            return None
+        own = "".join(c for c in plain[4:] if c.isdigit())
+        if not own:
+            return None
+        shape = plain[:2] + "".join("d" if c.isdigit() else c for c in plain[4:])
+        body = _refill(plain[4:], f"{self._perm(int(own), 10 ** len(own), f'account:{shape}'):0{len(own)}d}")
+        new = iter(plain[:2] + f"{98 - check(plain[:2] + '00' + body):02d}" + body)
+        return "".join(" " if c == " " else next(new) for c in found)
+
     @staticmethod
     def _issuable(x: int) -> bool:
         area, group, serial = x // 1_000_000, x // 10_000 % 100, x % 10_000
         return area not in (0, 666) and area < 900 and group > 0 and serial > 0
 
-    def text(self, text: str) -> tuple[str, dict[str, int]]:
-        counts = dict.fromkeys(KINDS, 0)
-
-        def swap(m: re.Match) -> str:
-            new = self.value(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            counts[m.lastgroup] += 1
-            return new
-
-        return _FIND.sub(swap, text), counts
-
+    def _at(self, m: re.Match) -> tuple[str, int, str] | None:
+        """kind, end and pseudonym of the first valid reading of what was found at m's place."""
+        kinds = list(KINDS)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            found = m[0] if kind == m.lastgroup else (x := _ONE[kind].match(m.string, m.start())) and x[0]
+            while found:
+                new = self.value(kind, found)
+                if new is not None:
+                    return kind, m.start() + len(found), new
+                # A shorter reading ends before a separator and has digits enough.
+                found = found[: max(found.rfind(" "), found.rfind("-"))] if kind in ("card", "account") and re.search("[ -]", found) else ""
+                if found and (not _ONE[kind].fullmatch(found) or kind == "card" and found[0] not in "23456"):
+                    break
+        return None
 
-def pseudonymise(docs: DataFrame, key: bytes = b"vidkin-default-key", back: bool = False) -> DataFrame:
+    def text(self, text: str) -> tuple[str, dict[str, int]]:
+        counts, out, at, look = dict.fromkeys(KINDS, 0), [], 0, 0
+        while m := _FIND.search(text, look):
+            got = self._at(m)
+            if got is None:
+                # What comes next may begin inside, after a separator; an e-mail's part is read once only.
+                look = m.end() if m.lastgroup == "email" else m.start() + 1
+                continue
+            kind, look, new = got
+            counts[kind] += 1
+            out += [text[at : m.start()], new]
+            at = look
+        return "".join(out) + text[at:], counts
+
+
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for each kind. back=True undoes it with the same key."""
+    if not key:
+        raise ValueError("a key is needed")
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
+    names = ["doc_id", "text", *[f"n_{k}" for k in KINDS]]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Pseudonyms(key, back)
         for batch in batches:
-            done = [own.text(t) if t is not None else (None, dict.fromkeys(KINDS, 0)) for t in batch["text"]]
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "text": [t for t, _ in done]}
-            yield pd.DataFrame(out | {f"n_{k}": [c[k] for _, c in done] for k in KINDS})
+            done = [own.text(t) if t is not None else (None, dict.fromkeys(KINDS, 0)) for t in batch.column(1).to_pylist()]
+            counts = [pa.array([c[k] for _, c in done], pa.int64()) for k in KINDS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), *counts], names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))

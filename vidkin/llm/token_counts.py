@@ -3,7 +3,9 @@
 A trie over the vocabulary carries, per node, a failure link and the number of tokens popped when
 following it (linear longest-match). Reading a word moves along the trie; where no child fits, the
 popped count is added and the failure link followed, so each character costs amortised constant time
-and no piece is ever built. Counts of words are kept in a bounded memo.
+and no piece is ever built. Only where some beginning of the word can't be covered by entries at all is there no
+link; the rest of such a word is matched by trying (its length times that of the longest entry). A vocabulary
+with every single byte, as with `every_entry`, has no such word. Counts of words are kept in a bounded memo.
 
 With `every_entry` words are read as their UTF-8 bytes, in the vocabulary's own byte letters, so that
 entries of part of a character count too and no character lies outside. A word ends with an end mark that is part of the vocabulary's word-final entries. Text is lower-cased
