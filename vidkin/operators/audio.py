@@ -6,6 +6,9 @@ per item along the best offsets); it is equivalent in kind, not bit-verified aga
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import CompareConfig
 from ..functions.bits import f32
+from .matching import blocked_pairs, edges_of
 
 #: Seconds per fingerprint item (4096-sample frames at 11025 Hz, two thirds overlapping).
 ITEM_SECS = 4096 / 3 / 11025
@@ -39,8 +43,9 @@ def audio_kind(score: Column) -> Column:
     return F.when(name.isNotNull(), F.struct(name.alias("kind"), F.lit(None).cast("bigint").alias("offset_ms"), F.lit(None).cast("string").alias("clip_is")))
 
 
-def align(a: np.ndarray, b: np.ndarray, offsets: int = 8, worst: float = 10.0) -> list[tuple[float, float]]:
-    """Segments (seconds, mean differing bits) of two fingerprints along their most frequent offsets."""
+def align(a: np.ndarray, b: np.ndarray, offsets: int | None = None, worst: float = 10.0) -> list[tuple[float, float]]:
+    """Segments (seconds, mean differing bits) of two fingerprints along all offsets at which an item agrees, or along
+    the most frequent ones."""
     if not len(a) or not len(b):
         return []
     order = np.argsort(b >> np.uint32(4), kind="stable")
@@ -65,23 +70,29 @@ def align(a: np.ndarray, b: np.ndarray, offsets: int = 8, worst: float = 10.0) -
 
 def audio_edges(bucketed: DataFrame, cfg: CompareConfig) -> DataFrame:
     """Match edges of one bucket by audio: both fingerprints non-empty, and an accepted segment."""
-    from .matching import BLOCK, edges_of
-
     rows = bucketed.filter(F.size("audio_fingerprint") > 0)
-    sizes = rows.groupBy("bucket_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes), "bucket_id").withColumn("block", F.pmod(F.xxhash64("input_pos"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    keep = ["input_pos", "path", "duration_ms", "audio_fingerprint"]
-    a = rows.select("bucket_id", F.col("block").alias("x"), every.alias("y"), *[F.col(c).alias(f"a_{c}") for c in keep])
-    b = rows.select("bucket_id", every.alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"b_{c}") for c in keep])
-    before = (F.col("a_duration_ms") < F.col("b_duration_ms")) | ((F.col("a_duration_ms") == F.col("b_duration_ms")) & (F.col("a_input_pos") < F.col("b_input_pos")))
+    # Segments come from items that agree but for their last bits: a pair without one is left out before its
+    # fingerprints are fetched. A fingerprint's distinct keys are summed up in 1024 bits.
+    key = F.transform("audio_fingerprint", lambda x: (F.shiftright(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 4) % 1024).cast("int"))
+    words = [_word(F.array_distinct(key), w) for w in range(16)]
+    summed = rows.select("bucket_id", "input_pos", "duration_ms", *[w.alias(f"w{k}") for k, w in enumerate(words)])
+    shared = reduce(or_, [F.col(f"a_w{k}").bitwiseAND(F.col(f"b_w{k}")) != 0 for k in range(16)])
+    pairs = blocked_pairs(summed, [f"w{k}" for k in range(16)], shared)
 
     @F.pandas_udf(SEGMENTS)
     def segments(x: pd.Series, y: pd.Series) -> pd.Series:
         found = [align(np.asarray(p, np.int64).astype(np.uint32), np.asarray(q, np.int64).astype(np.uint32)) for p, q in zip(x, y, strict=True)]
         return pd.Series([[{"duration": d, "score": s} for d, s in f] for f in found])
 
-    joined = a.join(b, ["bucket_id", "x", "y"]).filter(before).withColumn("segments", segments("a_audio_fingerprint", "b_audio_fingerprint"))
+    for side in "ab":
+        held = rows.select(F.col("input_pos").alias(f"{side}_input_pos"), *[F.col(c).alias(f"{side}_{c}") for c in ("path", "audio_fingerprint")])
+        pairs = pairs.join(held, f"{side}_input_pos")
+    joined = pairs.withColumn("segments", segments("a_audio_fingerprint", "b_audio_fingerprint"))
     scored = joined.withColumn("visual_score", segment_score(F.col("segments"), cfg)).withColumn("kind", audio_kind(F.col("visual_score")))
     return edges_of(scored.filter("kind is not null"))
 
+
+def _word(keys: Column, w: int) -> Column:
+    """The w-th 64 of the bits that keys name."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), (k % 64).cast("int"))
+    return F.aggregate(F.filter(keys, lambda k: F.floor(k / 64) == w), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseOR(bit(k)))

@@ -17,8 +17,8 @@ from ..store import stage
 BLOCK = 512
 #: Distinct durations up to which anchors are found in one fold; beyond, by one minimum per anchor.
 FOLD_DURATIONS = 2_000_000
-#: Edges up to which buckets are clustered by a fold each; beyond, in rounds over all edges.
-FOLD_EDGES = 2_000_000
+#: Edges of the largest bucket up to which buckets are clustered by a fold each; beyond, in rounds over all edges.
+FOLD_EDGES = 100_000
 
 
 def _breaks(d: Column, anchor: Column, pct: float) -> Column:
@@ -55,27 +55,36 @@ def _mid(h: Column) -> Column:
     return F.get(h, F.floor(F.size(h) / 2).cast("int"))["bits"]
 
 
-def candidate_pairs(bucketed: DataFrame, cfg: CompareConfig) -> DataFrame:
-    """Pairs a before b of one bucket whose middle windows pass the prefilter; columns a_*, b_*, d_mid.
+def blocked_pairs(rows: DataFrame, columns: list[str], near: Column) -> DataFrame:
+    """Pairs a before b of one bucket that near lets through: bucket_id, and a_* and b_* of input_pos, duration_ms and
+    the named columns, which should be few bytes, as each row goes to every cell of its block.
 
     Buckets are cut into hashed blocks and each pair of blocks is one join key, so that one dominant
     duration doesn't land in one task."""
-    rows = bucketed.filter(F.size("visual_hashes") > 0).withColumn("mid", _mid(F.col("visual_hashes")))
     sizes = rows.groupBy("bucket_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # At most one row a bucket, and buckets are as few as anchors.
     rows = rows.join(F.broadcast(sizes), "bucket_id").withColumn("block", F.pmod(F.xxhash64("input_pos"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    keep = ["input_pos", "path", "duration_ms", "visual_hashes", "mid"]
+    keep = ["input_pos", "duration_ms", *columns]
     a = rows.select("bucket_id", F.col("block").alias("x"), every.alias("y"), *[F.col(c).alias(f"a_{c}") for c in keep])
     b = rows.select("bucket_id", every.alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"b_{c}") for c in keep])
-    d = distance(F.col("a_mid"), F.col("b_mid"), cfg.hash_bits)
     before = (F.col("a_duration_ms") < F.col("b_duration_ms")) | ((F.col("a_duration_ms") == F.col("b_duration_ms")) & (F.col("a_input_pos") < F.col("b_input_pos")))
-    limit = f32(cfg.tolerance) * f32(1.5)
     # Cells are few bytes but much work: a fixed number of partitions keeps them from being coalesced.
-    n = int(bucketed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = ["bucket_id", "x", "y"]
-    joined = a.repartition(n, *cell).join(b.repartition(n, *cell), cell).filter(before & (d <= limit))
-    return joined.withColumn("d_mid", d).drop("x", "y", "a_mid", "b_mid")
+    return a.repartition(n, *cell).join(b.repartition(n, *cell), cell).filter(before & near).drop("x", "y")
+
+
+def candidate_pairs(bucketed: DataFrame, cfg: CompareConfig) -> DataFrame:
+    """Pairs a before b of one bucket whose middle windows pass the prefilter; columns a_*, b_*, d_mid.
+    Only the middle windows meet in pairs; paths and lists are fetched for the pairs that pass."""
+    rows = bucketed.filter(F.size("visual_hashes") > 0)
+    d = distance(F.col("a_mid"), F.col("b_mid"), cfg.hash_bits)
+    middle = rows.select("bucket_id", "input_pos", "duration_ms", _mid(F.col("visual_hashes")).alias("mid"))
+    pairs = blocked_pairs(middle, ["mid"], d <= f32(cfg.tolerance) * f32(1.5)).withColumn("d_mid", d).drop("a_mid", "b_mid")
+    for side in "ab":
+        pairs = pairs.join(rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("input_pos", "path", "visual_hashes")]), f"{side}_input_pos")
+    return pairs
 
 
 def aligned(a: Column, b: Column, cfg: CompareConfig) -> Column:
@@ -174,7 +183,8 @@ def cluster(edges: DataFrame, rounds: bool | None = None) -> DataFrame:
     """Leader clustering: leader_pos, leader_path, leader_duration_ms, input_pos, path, duration_ms, kind (of the
     member's edge) per member. A row that no earlier leader matches leads; others join their earliest leader."""
     edges = stage(edges, "matches")
-    rounds = edges.count() > FOLD_EDGES if rounds is None else rounds
+    if rounds is None:
+        rounds = (edges.groupBy("bucket_id").count().agg(F.max("count")).first()[0] or 0) > FOLD_EDGES
     members = stage((_members_by_rounds if rounds else _members_by_fold)(edges), "members")
     own = edges.join(members, "b_input_pos", "left_semi")
     lead = own.join(members.withColumnRenamed("b_input_pos", "a_input_pos"), "a_input_pos", "left_anti")

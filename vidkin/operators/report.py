@@ -41,6 +41,21 @@ def checked_paths(rows: DataFrame) -> DataFrame:
     return rows.filter("checked").select("path")
 
 
+def tenths(x: Column) -> Column:
+    """x, not negative, to one digit, by its exact binary value (half to even). With k tenths below x, x lies over the
+    middle where 20x > 2k + 1; 16x less 2k + 1 is exact, and adding 4x keeps the sign."""
+    k = F.floor(x * 10)
+    over = (x * 16 - (2 * k + 1).cast("double")) + x * 4
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def header_rows(groups: DataFrame) -> DataFrame:
+    """groups (group_no, files, kind) with the heading of each group in a table: its label and its number of files."""
+    n = F.size("files")
+    return groups.withColumn("header", F.concat(group_label(F.col("kind.kind")), F.lit(" - "), n.cast("string"), F.lit(" file(s)")))
+
+
 def report_rows(members: DataFrame, meta: DataFrame, stats: DataFrame | None = None, group: str = "group_id") -> DataFrame:
     """members (group, pos, path) with display columns; without metadata the texts are empty and the duration 0.
     meta: path, duration_secs, fps, codec, bitrate_bps, width, height; stats: path, size, mtime."""
@@ -48,7 +63,7 @@ def report_rows(members: DataFrame, meta: DataFrame, stats: DataFrame | None = N
     rows = rows.join(stats, "path", "left") if stats is not None else rows.withColumns({"size": F.lit(None).cast("bigint"), "mtime": F.lit(None).cast("bigint")})
     rows = quality_tiers(rows, group)
     empty = F.lit("")
-    fps = F.round(F.col("fps"), 1).cast("decimal(10,1)").cast("string")
+    fps = tenths(F.col("fps"))
     return rows.select(
         group, "pos", "path", "tier",
         F.element_at(F.split("path", "/"), -1).alias("name"),
@@ -79,10 +94,9 @@ def report_text(groups: DataFrame, number: Column) -> DataFrame:
     return groups.withColumn("text", F.concat(head, F.array_join(F.transform("files", lambda p: F.concat(F.lit("\n  "), p)), "")))
 
 
-def numbered(groups: DataFrame) -> DataFrame:
-    """groups with group_no from 1 by leader order. Numbers come from counts per range of leaders, so no task
-    sees all groups."""
-    key = ["leader_duration_ms", "leader_pos"]
+def numbered(groups: DataFrame, key: tuple = ("leader_duration_ms", "leader_pos"), name: str = "group_no") -> DataFrame:
+    """groups with a number from 1 by leader order, or any rows by the columns in key. Numbers come from counts per
+    range of rows, so no task sees them all."""
     dealt = groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_id", F.monotonically_increasing_id())
     from ..store import stage
 
@@ -92,4 +106,4 @@ def numbered(groups: DataFrame) -> DataFrame:
     counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     joined = held.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return joined.withColumn("group_no", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
+    return joined.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")

@@ -299,7 +299,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = m.select("path", (F.col("file_id") * 7919).alias("size"), (1_700_000_000 + F.col("file_id")).alias("mtime"))
     meta = m.filter("file_id % 10 <> 9 and duration_secs is not null").drop("file_id", "group_id")
     rows = report.report_rows(members, meta, stats)
-    return rows.select("pos", "tier", "name", "size_text", "dimensions", "duration", "bitrate", "codec", "mod_date", _r("duration_secs"))
+    return rows.select("pos", "tier", "name", "size_text", "dimensions", "duration", "bitrate", "codec", "mod_date", _r("duration_secs"), "group_id", "path", "fps")
 
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:

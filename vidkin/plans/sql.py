@@ -175,13 +175,13 @@ ORACLE_SQL = {
     "quality_tier": w(TIERS, "SELECT file_id, tier FROM tiers"),
     "keep_one": w(TIERS, "SELECT file_id, row_number() OVER (PARTITION BY group_id ORDER BY (tier = 'best') DESC, file_id) <> 1 AND count(*) OVER (PARTITION BY group_id) >= 2 AS checked FROM tiers"),
     "report_rows": w(
-        META + f""", known AS (SELECT file_id, group_id, (file_id % 10 <> 9 AND duration_secs IS NOT NULL) AS kn, duration_secs, codec, bitrate_bps, width, height FROM meta),
- m2 AS (SELECT file_id, group_id, CASE WHEN kn THEN duration_secs END AS duration_secs, CASE WHEN kn THEN codec END AS codec, CASE WHEN kn THEN bitrate_bps END AS bitrate_bps, CASE WHEN kn THEN width END AS width, CASE WHEN kn THEN height END AS height FROM known),
+        META + f""", known AS (SELECT file_id, group_id, (file_id % 10 <> 9 AND duration_secs IS NOT NULL) AS kn, duration_secs, fps, codec, bitrate_bps, width, height FROM meta),
+ m2 AS (SELECT file_id, group_id, CASE WHEN kn THEN duration_secs END AS duration_secs, CASE WHEN kn THEN fps END AS fps, CASE WHEN kn THEN codec END AS codec, CASE WHEN kn THEN bitrate_bps END AS bitrate_bps, CASE WHEN kn THEN width END AS width, CASE WHEN kn THEN height END AS height FROM known),
  scored AS (SELECT *, (coalesce(width, 0)::HUGEINT * coalesce(height, 0)) * 1000000000000 + ({RANK}) * 100000000000 + coalesce(bitrate_bps, 0) AS score FROM (SELECT *, lower(coalesce(codec, '')) AS c FROM m2)),
  tiers AS (SELECT *, CASE WHEN max(score) OVER g = min(score) OVER g OR score = 0 THEN 'unknown' WHEN score = max(score) OVER g THEN 'best' ELSE 'worse' END AS tier FROM scored WINDOW g AS (PARTITION BY group_id))""",
         f"""SELECT file_id AS pos, tier, file_id || '.mkv' AS name, {fmt_size('(file_id * 7919)')} AS size_text, coalesce(width || '×' || height, '') AS dimensions,
  coalesce({FMT_DURATION.replace('{t}', 'floor(duration_secs)::BIGINT')}, '') AS duration, coalesce({FMT_BITRATE.replace('{n}', 'bitrate_bps')}, '') AS bitrate, coalesce(codec, '') AS codec,
- strftime(make_timestamp((1700000000 + file_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS mod_date, round(coalesce(duration_secs, 0), 6) AS duration_secs FROM tiers""",
+ strftime(make_timestamp((1700000000 + file_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS mod_date, round(coalesce(duration_secs, 0), 6) AS duration_secs, group_id, '/m/' || file_id || '.mkv' AS path, coalesce(printf('%.1f', fps), '') AS fps FROM tiers""",
     ),
     "report_text": w(CLUSTER, "SELECT no AS group_no, '--- Group ' || no || ' [' || CASE kind.kind WHEN 'Identical' THEN 'IDENTICAL' WHEN 'SameContent' THEN 'SAME CONTENT' WHEN 'SubClip' THEN 'SUB-CLIP' ELSE 'SIMILAR' END || '] ---' || chr(10) || '  ' || leader_path || chr(10) || '  ' || array_to_string(rest, chr(10) || '  ') AS text FROM (SELECT *, row_number() OVER (ORDER BY leader_ms, leader_pos) AS no FROM grp)"),
     "report_json": w(CLUSTER, """SELECT leader_pos, '{"files":["' || leader_path || '","' || array_to_string(rest, '","') || '"],"kind":' || CASE WHEN kind.kind = 'SubClip' THEN '{"SubClip":{"offset_ms":' || kind.offset_ms || ',"clip_is":"' || kind.clip_is || '"}}' ELSE '"' || kind.kind || '"' END || '}' AS json FROM grp"""),

@@ -27,6 +27,11 @@ def misses(files: DataFrame, cache: DataFrame, cfg: SignatureConfig) -> DataFram
     return with_key(files, cfg).join(cache, "cache_key", "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read(spark: SparkSession, path: str, version: int = CACHE_VERSION) -> DataFrame:
     """Entries of one version (a partition); the newest of a key."""
     rows = spark.read.parquet(path).filter(F.col("cache_version") == version)
@@ -43,6 +48,24 @@ def fresh(entries: DataFrame, days: int, now: Column) -> DataFrame:
     return entries.filter(F.col("last_used") >= now - days * 86400)
 
 
-def expire(spark: SparkSession, path: str, to: str, days: int = 30) -> None:
-    """Write the entries that stay to another place."""
-    fresh(spark.read.parquet(path), days, F.unix_timestamp()).write.mode("overwrite").partitionBy("cache_version").parquet(to)
+def touch(files: DataFrame, path: str, cfg: SignatureConfig, version: int = CACHE_VERSION) -> None:
+    """Note that the entries of these files were used now: they are appended again, and readers take the newest."""
+    spark = files.sparkSession
+    used = read(spark, path, version).join(with_key(files, cfg).select("cache_key"), "cache_key", "left_semi")
+    save(used.drop("last_used"), path, version)
+
+
+def expire(spark: SparkSession, path: str, to: str | None = None, days: int = 30) -> None:
+    """Write the entries used in the last days to another place, or clean the cache in place: the old files go only
+    after the new ones are written beside them."""
+    kept = fresh(spark.read.parquet(path), days, F.unix_timestamp())
+    target = to or f"{path.rstrip('/')}.new"
+    kept.write.mode("overwrite").partitionBy("cache_version").parquet(target)
+    if to is None:
+        jvm = spark.sparkContext._jvm
+        here, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, target, f"{path.rstrip('/')}.old"))
+        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for a, b in ((here, old), (new, here)):
+            if not fs.rename(a, b):
+                raise OSError(f"{a} can't be renamed to {b}")
+        fs.delete(old, True)

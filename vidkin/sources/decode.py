@@ -144,7 +144,7 @@ def thumbnails(rows: DataFrame, thumbnail: Callable, width: int = 160, height: i
             out = []
             for path, secs in zip(batch["path"], batch["duration_secs"], strict=True):
                 try:
-                    out.append(thumbnail(path, max((secs or 0.0) * 0.2, 1.0), width, height))
+                    out.append(thumbnail(path, 1.0 if secs is None or secs != secs else max(secs * 0.2, 1.0), width, height))
                 except Exception:  # noqa: BLE001  failures are dropped
                     out.append(None)
             yield pd.DataFrame({"path": batch["path"], "thumbnail": out})
