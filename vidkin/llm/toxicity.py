@@ -39,7 +39,7 @@ from .store import bound_batches
 WORDS = 4
 CHARS = 200
 LEVEL = 9
-BASE_BYTES = 48_000
+BASE_BYTES = 24_000
 #: Bytes of the strings by which segments are weighed.
 GRAM = 6
 #: Log-likelihood a string needs beyond that of the best of as many chance ones.
@@ -73,7 +73,7 @@ def _compressor(content: bytes):
     frame = {"format": zs.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_dict_id": False}
     # The window must reach over the whole dictionary; an optimal parse tells short matches apart.
     reach = max(17, len(content).bit_length())
-    search = {"window_log": reach, "chain_log": reach, "hash_log": 14, "min_match": 4, "strategy": zs.STRATEGY_BTOPT}
+    search = {"window_log": reach, "chain_log": reach, "hash_log": 14, "min_match": 4, "target_length": 5, "strategy": zs.STRATEGY_BTOPT}
     params = zs.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), **search, **frame)
     held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
@@ -267,8 +267,19 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 2000, longest
     # At most 2 * most_labelled ids.
     chosen = F.broadcast(picks[0].unionAll(picks[1]))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").filter(F.octet_length("text") <= longest)
-    rows = sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows], share)
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit([t for _, t, _ in held], [y for *_, y in held], share)
+        yield pa.RecordBatch.from_pydict({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [model.weights]})
+
+    # One task takes the bounded sample, so that the driver keeps nothing of it but the model.
+    bound_batches(docs.sparkSession)
+    model = rows.repartition(1).mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(model["ordinary"]), bytes(model["toxic"]), list(model["weights"])) if model else fit([], [], share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
