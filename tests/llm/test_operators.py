@@ -211,6 +211,14 @@ def test_reparameterised_question(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_only_window_hashes_of_the_benchmark_are_broadcast(spark):
+    text = "how many Boxes of 12 pens does Anna Smith buy for 30 euros in one long week"
+    found = decontaminate.contaminated(docs_of(spark, [text]), spark.createDataFrame([(1, text)], "item_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [x for x in plan if "BroadcastHashJoin [hash#" in x]
+    assert joins and all("LeftSemi" in x for x in joins) and found.count() == 1
+
+
 def test_upper_cased_copies(spark):
     q = "in the morning, he said, the market opens and, after that, Tom sells 12 km of rope to Anna, who, as always, pays him well"
     bench = spark.createDataFrame([(1, q)], "item_id long, text string")

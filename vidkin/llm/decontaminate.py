@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 LEAST = 0.8
-#: Windows of the benchmark up to which its side is broadcast (some 100 bytes each); beyond, a shuffle join.
+#: Windows of the benchmark up to which their hashes are broadcast (8 bytes each and a map's slack, where a whole row
+#: takes some 500 bytes); beyond, a shuffle join.
 BROADCAST_WINDOWS = 200_000
 #: Placeholders, and what takes the place of a point or comma between digits, from the private use area.
 NUMBER, UNIT, NAME, POINT = "\ue001", "\ue002", "\ue003", "\ue005"
@@ -106,8 +107,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
     mine = windows(docs.select("doc_id", "text"), "doc_id", words)
     # The words of a window as columns, which are read only where the hash is found; the text stays behind.
     own = [F.get("low", F.col("at") + j).alias(f"d{j}") for j in range(words)]
-    mine = mine.select("doc_id", "at", "low", F.explode(_hashes()).alias("hash")).select("doc_id", "at", "hash", *own)
-    hits = mine.join(F.broadcast(bench) if small else bench, "hash")
+    mine = mine.select("doc_id", "at", "low", F.explode(_hashes()).alias("hash"))
+    if small:
+        mine = mine.join(F.broadcast(bench.select("hash").distinct()), "hash", "left_semi")
+    # Of the documents only the windows found get here; the benchmark's rows don't pass the driver.
+    hits = mine.select("doc_id", "at", "hash", *own).join(bench.hint("merge"), "hash")
     placed = F.zip_with(F.arrays_zip("words", "kinds"), F.array(*[f"d{j}" for j in range(words)]), lambda b, d: F.struct(b["words"].alias("item"), d.alias("doc"), b["kinds"].alias("kind")))
     slot = lambda p: p["kind"].isin(NUMBER, UNIT, NAME)
     hits = hits.withColumn("placed", placed).filter(F.forall("placed", lambda p: (p["item"] == p["doc"]) | slot(p)))
@@ -123,6 +127,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))).cast("long").alias("n_changed"),
     )
-    out = by.join(F.broadcast(total) if small else total, "item_id")
+    out = by.join(total, "item_id")
     coverage = F.col("n_windows") / F.col("item_windows")
     return out.select("doc_id", "item_id", "n_windows", "item_windows", coverage.alias("coverage"), "n_slots", "n_changed").filter(F.col("coverage") >= least)
