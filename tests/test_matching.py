@@ -157,3 +157,35 @@ def test_settings(tmp_path):
     assert Settings.load(tmp_path / "s.json") == s and Settings.load(tmp_path / "none") == Settings()
     (tmp_path / "bad").write_text("{")
     assert Settings.load(tmp_path / "bad") == Settings() and s.compare().use_audio
+
+
+SMALL = CompareConfig(hash_bits=16)
+
+
+def random_sigs(spark, n, seed):
+    """Short hashes, lists of two to four windows, many equal durations."""
+    rng = random.Random(seed)
+    kept = [rng.getrandbits(16) for _ in range(40)]
+    window = lambda: rng.choice(kept) ^ (1 << rng.randrange(16) if rng.random() < 0.7 else 0)
+    rows = [(k, f"/{k}", rng.choice((1000, 1001, 1100, 90_000)) + rng.randrange(3), [(6000 * j, 6000 * j + 6000, [window()]) for j in range(rng.choice((2, 3, 4, 4)))], None) for k in range(n)]
+    return sigs(spark, *rows)
+
+
+@pytest.mark.parametrize("n", [5, 2500])
+def test_leaders_without_edges(spark, monkeypatch, n):
+    s = random_sigs(spark, n, 6)
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    want = as_rows(matching.cluster(matching.match_edges(s, SMALL)))
+    monkeypatch.setattr(matching, "match_edges", None)
+    assert as_rows(matching.find_members(s.repartition(3), SMALL)) == want
+    if n > 5:
+        assert sum(len(g.files) - 1 for g in matching.find_similar(s, SMALL).collect()) == len(want) > 1000
+
+
+def test_many_leaders_take_rounds(spark):
+    """Rows that match nothing: each of them leads, and none is a member."""
+    rows = [sig(k, f"/{k}", 1000 + k % 7, [0]) for k in range(2)]
+    rng = random.Random(7)
+    far = [(k, f"/{k}", 1000 + k % 7, [(0, 6000, [rng.getrandbits(64) - 2**63 for _ in range(16)])], None) for k in range(2, 1500)]
+    found = matching.find_similar(sigs(spark, *rows, *far)).collect()
+    assert [g.files for g in found] == [["/0", "/1"]]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CompareConfig
 from ..functions.bits import distance, f32
 from ..store import stage
+from . import pairing
 
 #: Rows of a bucket that one block takes; a bucket of n rows is compared in (n/BLOCK)^2 separate cells.
 BLOCK = 512
@@ -211,7 +212,12 @@ def find_similar(sigs: DataFrame, cfg: CompareConfig | None = None) -> DataFrame
         from .audio import audio_edges
 
         return groups(cluster(audio_edges(duration_buckets(sigs, cfg.duration_tolerance_pct), cfg)))
-    return groups(cluster(match_edges(sigs, cfg)))
+    return groups(find_members(sigs, cfg))
+
+
+def find_members(sigs: DataFrame, cfg: CompareConfig) -> DataFrame:
+    """What cluster() gives for match_edges(), without the edges."""
+    return pairing.members(duration_buckets(sigs, cfg.duration_tolerance_pct), cfg)
 
 
 def match_edges(sigs: DataFrame, cfg: CompareConfig) -> DataFrame:

@@ -239,7 +239,7 @@ def subclip_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.cluster(matching.match_edges(fx.signatures(spark, sf_dir), CFG))
+    return matching.find_members(fx.signatures(spark, sf_dir), CFG)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
