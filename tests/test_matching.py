@@ -171,6 +171,28 @@ def random_sigs(spark, n, seed):
     return sigs(spark, *rows)
 
 
+def test_pairs_meet_in_cells_without_a_join_of_pairs(spark, monkeypatch):
+    s = random_sigs(spark, 300, 5)
+    bucketed = matching.duration_buckets(s, 20.0)
+    whole = {(r.a_input_pos, r.b_input_pos): r.d_mid for r in matching.candidate_pairs(bucketed, SMALL).collect()}
+    rows = {r.input_pos: (r.bucket_id, r.duration_ms, [h.bits[0] for h in r.visual_hashes]) for r in bucketed.collect()}
+    want = {}
+    for a, b in itertools.permutations(rows, 2):
+        (ba, da, ha), (bb, db, hb) = rows[a], rows[b]
+        d = (ha[len(ha) // 2] ^ hb[len(hb) // 2]).bit_count()
+        if ba == bb and (da, a) < (db, b) and d <= 7:
+            want[a, b] = d / 16
+    assert whole == want
+    monkeypatch.setattr(matching.pairing, "BLOCK", 17)
+    cut = matching.candidate_pairs(bucketed, SMALL)
+    assert {(r.a_input_pos, r.b_input_pos): r.d_mid for r in cut.collect()} == want
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    counts = {(r.a_input_pos, r.b_input_pos): (r.n_matching, r.n_windows) for r in matching.window_counts(bucketed, SMALL).collect()}
+    lists = {(a, b): (rows[a][2], rows[b][2]) for a, b in want if len(rows[a][2]) == len(rows[b][2])}
+    assert counts == {p: (sum((x ^ y).bit_count() <= 4 for x, y in zip(*hs, strict=True)), len(hs[0])) for p, hs in lists.items()}
+
+
 @pytest.mark.parametrize("n", [5, 2500])
 def test_leaders_without_edges(spark, monkeypatch, n):
     s = random_sigs(spark, n, 6)
