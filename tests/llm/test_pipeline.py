@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vidkin.llm import queries
+from vidkin.llm import components, queries, secrets, setsketch
 
 
 def test_pipeline_stages_on_planted_cases(spark, tmp_path):
@@ -55,3 +55,20 @@ def test_pipeline_stages_on_odd_rows_and_names(spark, tmp_path):
             assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() > 0
         else:
             assert rows == []
+
+
+def test_no_side_of_a_join_is_broadcast_by_its_size(spark, tmp_path, monkeypatch):
+    """Spark sizes these tables as small at any threshold, as it does larger ones after an explode or from a compressed file."""
+    plans = []
+    for module in (components, secrets, setsketch):
+        monkeypatch.setattr(module, "stage", lambda df, tag, stage=module.stage: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), stage(df, tag))[1])
+    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    a = " ".join(f"a{k}" for k in range(60))
+    texts = [a, a, f"{a} more", f"{a} token=abcdefgh12345", *[f"{a} {' '.join(f'b{j}x{k}' for j in range(25 * (k % 2 + 1)))}" for k in range(40)], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("near_dedup", "secrets"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        plans.append((name, out._jdf.queryExecution().executedPlan().toString()))
+        assert out.count() > 0
+    assert {"members", "links", "star", "open", "sets", "near_dedup", "secrets"} <= {tag for tag, _ in plans}
+    assert [tag for tag, plan in plans if "Broadcast" in plan] == []

@@ -111,7 +111,8 @@ def scan(
         found = findings.unionByName(found.join(known.select("blob"), "blob", "left_anti"))
     now = found.filter(F.col("rule_version") == rule_version).select("blob", "spans")
     # Rows of one blob may be many: the findings side has one row a blob, so AQE can split the rows' side.
-    rows = held.join(now, "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    # Spans lie compressed in the folder, so without the hint Spark may size and broadcast them too low.
+    rows = held.join(now.hint("merge"), "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
     return rows, later, found
 
 

@@ -10,7 +10,8 @@ Equal sets are one class. In a band's bucket all classes are first compared with
 class only (a star); then, in buckets whose members are still of several components, the remaining
 pairs across components are compared in blocks, first by likelihood, then, for the rows that have a
 pair left, by full sets; a block gives only links that join components anew. So rows stay in
-proportion to the members of a bucket, and no pair that shares a band is skipped.
+proportion to the members of a bucket, and no pair that shares a band is skipped. All joins are hinted: after
+an explode, or from a compressed file, Spark sizes a side far too low and would send it through the driver.
 
 A pair at the threshold 0.8 shares none of 32 bands with probability 5e-8, and is rejected by the
 likelihood with about 1e-6.
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
     in_band = nodes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "regs")
     in_band = in_band.select("cid", "band", F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"))
     buckets = in_band.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = stage(in_band.join(buckets, "key"), "members")
+    members = stage(in_band.join(buckets.hint("merge"), "key"), "members")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
                 yield _batch({"cid": batch.column(0), "sid": [xxhash.xxh3_128_digest(s) for s in own], "set": own}, set_as)
 
         # Repeated rows of one doc_id may differ in text; the class's own set counts.
-        full = texts.mapInArrow(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi"), ["cid", "sid"])
+        full = texts.mapInArrow(sets, "cid long, sid binary, set binary").join(nodes.select("cid", "sid").join(need, "cid", "left_semi").hint("merge"), ["cid", "sid"])
         return stage(full.dropDuplicates(["cid", "sid"]).drop("sid"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -189,15 +190,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
                 ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
                 yield _batch({c: _numbers(batch, c)[np.array(ok, bool)] for c in "ab"}, pair_as)
 
-        both = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+        both = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(full.select(F.col("cid").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
         out = stage(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
         discard(full)
         return out
 
     # Stars: each member of a bucket with the bucket's least class.
     star = members.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    star = star.join(nodes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-    star = star.join(nodes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+    star = star.join(nodes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")).hint("merge"), "a")
+    star = star.join(nodes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")).hint("merge"), "b")
     pairs = stage(star.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(likely, "a long, b long"), "pairs")
     links = verified(pairs)
     discard(pairs)
@@ -205,9 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
 
     # The rest: members other than the hub, in buckets of several components, block by block. A block has
     # at most BLOCK rows of each side, and fewer where their sets are large (on average; sides are dealt by a hash).
-    rest = members.filter("size > 2 and cid <> hub").join(label.withColumnRenamed("id", "cid"), "cid", "left")
+    rest = members.filter("size > 2 and cid <> hub").join(label.withColumnRenamed("id", "cid").hint("merge"), "cid", "left")
     rest = rest.select("key", "band", "cid", F.coalesce("component", "cid").alias("label"))
-    rest = rest.join(nodes.select("cid", "n", "regs"), "cid")
+    rest = rest.join(nodes.select("cid", "n", "regs").hint("merge"), "cid")
     by_label = rest.groupBy("key", "label").agg(F.count("*").alias("count"), F.sum("n").alias("elements"))
     sums = [F.max_by("label", "count").alias("main"), F.count("*").alias("labels")]
     sums += [F.sum(c).alias(f"all_{c}") for c in ("count", "elements")] + [F.max_by(c, "count").alias(f"top_{c}") for c in ("count", "elements")]
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
     all_blocks = blocks_of(F.col("all_count"), F.col("all_elements"))
     minor_blocks = blocks_of(F.col("all_count") - F.col("top_count"), F.col("all_elements") - F.col("top_elements"))
     mixed = mixed.select("key", "main", all_blocks.alias("all_blocks"), minor_blocks.alias("minor_blocks"))
-    rest = rest.join(mixed, "key")
+    rest = rest.join(mixed.hint("merge"), "key")
     spread = F.xxhash64("cid", F.lit(7))
     every = rest.withColumns({"x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)), "y": F.pmod(spread, "all_blocks"), "minor": F.lit(False)})
     minor = rest.filter("label <> main").withColumns({"x": F.pmod(spread, "minor_blocks"), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)), "minor": F.lit(True)})
@@ -306,13 +307,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
     spent = [links, members, opened]
     if not opened.isEmpty():
         full = full_sets(opened.select("cid"))
-        held = opened.join(full, "cid").select(*columns, "set")
+        held = opened.join(full.hint("merge"), "cid").select(*columns, "set")
         held = held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "minor")
         label = components(links.unionAll(held.mapInArrow(in_groups(joining), "a long, b long")))
         spent.append(full)
     discard(*spent)
-    classes = nodes.select("sid", "cid").join(label.withColumnRenamed("id", "cid"), "cid", "left").select("sid", F.coalesce("component", "cid").alias("component"))
+    classes = nodes.select("sid", "cid").join(label.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").select("sid", F.coalesce("component", "cid").alias("component"))
     # Many rows may share a class; the classes' side has one row each, so AQE can split the rows' side.
-    out = all_rows.select("doc_id", "n", "sid", *kept_as).join(classes, "sid", "left")
+    out = all_rows.select("doc_id", "n", "sid", *kept_as).join(classes.hint("merge"), "sid", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), *[F.col(x).alias(c) for x, c in zip(kept_as, keep, strict=True)])
