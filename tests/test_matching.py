@@ -193,6 +193,19 @@ def test_pairs_meet_in_cells_without_a_join_of_pairs(spark, monkeypatch):
     assert counts == {p: (sum((x ^ y).bit_count() <= 4 for x, y in zip(*hs, strict=True)), len(hs[0])) for p, hs in lists.items()}
 
 
+@pytest.mark.parametrize("bits", [16, 1000])
+def test_pairs_of_named_columns_and_distances_rounded_once(spark, bits):
+    cfg = CompareConfig(hash_bits=bits)
+    n = spark.range(bits + 1).select(F.col("id").cast("int").alias("n"), F.round((F.col("id") / bits).cast("float").cast("double"), 6).alias("want"))
+    assert n.filter(~matching.pairing.rounded_distance(F.col("n"), cfg, 6).eqNullSafe(F.col("want"))).count() == 0
+    if bits == 16:
+        bucketed = matching.duration_buckets(random_sigs(spark, 100, 6), 20.0)
+        named = matching.candidate_pairs(bucketed, cfg, ["b_path", "differing", "a_path"])
+        assert named.columns == ["b_path", "differing", "a_path"]
+        whole = matching.candidate_pairs(bucketed, cfg).select("b_path", (F.col("d_mid") * 16).cast("int"), "a_path")
+        assert sorted(map(tuple, named.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
 @pytest.mark.parametrize("n", [5, 2500])
 def test_leaders_without_edges(spark, monkeypatch, n):
     s = random_sigs(spark, n, 6)
